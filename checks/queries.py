@@ -13,7 +13,6 @@ from headwise.config import FixedConfig, ScheduledConfig
 from headwise.operators import events as ev
 from headwise.operators import pairs as pr
 from headwise.operators import timetable as tt
-from headwise.operators import updates as up
 from headwise.plans import fixed, marts, report, scheduled
 from headwise.schemas import STOP_TIME_UPDATES, VEHICLE_POSITIONS
 from headwise.session import configure, materialise, scratch_path
@@ -111,7 +110,7 @@ def capture_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _land_captures(spark, sf_dir)
     updates = captures.read_captures(spark, found)
-    directed = scheduled.directed_updates(updates, views.timetable(spark, sf_dir))
+    directed = scheduled.directed_updates(updates, _index(spark, sf_dir).trips)
     return captures.source_status(spark, found, pr.candidate_pairs(directed, CONFIG))
 
 
@@ -209,9 +208,7 @@ def stream_ingest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def trip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return up.trip_bounds(
-        up.nonnull_updates(views.stop_time_updates(spark, sf_dir), "arrival_time", "trip_id")
-    )
+    return fixed.observed_bounds(views.stop_time_updates(spark, sf_dir))
 
 
 @_query
@@ -312,18 +309,30 @@ def fallback_headways(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- schedule-aware ------------------------------------------------------------------
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, static.Timetable]:
-    return views.stop_time_updates(spark, sf_dir), views.timetable(spark, sf_dir)
+_indexes: dict[tuple[str, str], scheduled.TimetableIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> scheduled.TimetableIndex:
+    """The timetable's lookups, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        lazy = scheduled.index_timetable(views.timetable(spark, sf_dir), CONFIG)
+        _indexes[key] = lazy.saved(scratch_path(spark, "index"))
+    return _indexes[key]
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, scheduled.TimetableIndex]:
+    return views.stop_time_updates(spark, sf_dir), _index(spark, sf_dir)
 
 
 @_query
 def updates_with_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scheduled.directed_updates(*_inputs(spark, sf_dir))
+    return scheduled.directed_updates(views.stop_time_updates(spark, sf_dir), _index(spark, sf_dir).trips)
 
 
 @_query
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directed = scheduled.directed_updates(*_inputs(spark, sf_dir))
+    directed = updates_with_direction(spark, sf_dir)
     pairs = pr.candidate_pairs(directed, CONFIG, ["trip_headsign"])
     return pairs.withColumnsRenamed(
         {"lead_trip_headsign": "lead_headsign", "trailing_trip_headsign": "trailing_headsign"}
@@ -336,22 +345,22 @@ _FACTS = ["lead_scheduled_arrival_seconds", "trailing_scheduled_arrival_seconds"
 @_query
 def nonterminal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scheduled.timed_pairs(*_inputs(spark, sf_dir), CONFIG)
-    return pr.drop_terminal_pairs(pairs).drop(*_FACTS, "trip_headsign")
+    return pr.drop_terminal_pairs(pairs).drop(*_FACTS)
 
 
 @_query
 def pair_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scheduled.timed_pairs(*_inputs(spark, sf_dir), CONFIG)
-    return pr.pair_headway(pr.drop_terminal_pairs(pairs), CONFIG).drop("trip_headsign")
+    return pr.pair_headway(pr.drop_terminal_pairs(pairs), CONFIG)
 
 
 @_query
 def resolved_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scheduled.resolved_pairs(*_inputs(spark, sf_dir), CONFIG).drop("trip_headsign")
+    return scheduled.resolved_pairs(*_inputs(spark, sf_dir), CONFIG)
 
 
 def _bunched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scheduled.bunched_pairs(*_inputs(spark, sf_dir), CONFIG).drop("trip_headsign")
+    return scheduled.bunched_pairs(*_inputs(spark, sf_dir), CONFIG)
 
 
 @_query
@@ -361,10 +370,10 @@ def bunched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timetable = views.timetable(spark, sf_dir)
-    pairs = ev.with_labels(_bunched(spark, sf_dir), timetable.routes, timetable.stops)
-    signed = ev.with_headsigns(pairs, tt.trip_dimension(timetable.trips))
-    return ev.with_local_text(ev.localise(signed, timetable.zone), timetable.zone)
+    index = _index(spark, sf_dir)
+    pairs = ev.with_labels(_bunched(spark, sf_dir), index.labels, index.places)
+    signed = ev.with_headsigns(pairs, index.trips)
+    return ev.with_local_text(ev.localise(signed, index.zone), index.zone)
 
 
 @_query

@@ -57,11 +57,17 @@ def route_labels(routes: DataFrame) -> DataFrame:
     )
 
 
-def with_labels(df: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
-    """Route label and name, stop name and position; works on pairs and on events."""
-    places = one_per_key(stops.select("stop_id", "stop_name", "stop_lat", "stop_lon"), "stop_id")
+def stop_places(stops: DataFrame) -> DataFrame:
+    return one_per_key(stops.select("stop_id", "stop_name", "stop_lat", "stop_lon"), "stop_id")
+
+
+def with_labels(df: DataFrame, labels: DataFrame, places: DataFrame) -> DataFrame:
+    """Route label and name, stop name and position; works on pairs and on events.
+
+    `labels` comes from `route_labels`, `places` from `stop_places`.
+    """
     return (
-        df.join(route_labels(routes), "route_id", "left")
+        df.join(labels, "route_id", "left")
         .join(places, "stop_id", "left")
         .withColumns(
             {
@@ -107,7 +113,10 @@ def _text_list(column: str) -> Column:
 def collapse_observations(pairs: DataFrame, zone: str) -> DataFrame:
     """Events: all sightings of one pair at one stop on one day.
 
-    Extremes of time are taken on epoch seconds and formatted afterwards.
+    Extremes of time are taken on epoch seconds and formatted afterwards. The scheduled
+    headway, its source and the threshold follow from the two trips, the stop, the route
+    and the direction, so they are the same in every row of an event and their minimum
+    is also their median. The sets hold the snapshots and captures of one day at most.
     """
     first_row = F.struct("source_db", "logged_at", "trailing_arrival_time")
     events = pairs.groupBy(*EVENT).agg(
@@ -118,11 +127,11 @@ def collapse_observations(pairs: DataFrame, zone: str) -> DataFrame:
         F.min_by("event_hour", first_row).alias("event_hour"),
         F.min("actual_headway_seconds").alias("min_actual_headway_seconds"),
         F.median("actual_headway_seconds").alias("median_actual_headway_seconds"),
-        F.median("scheduled_headway_seconds").alias("scheduled_headway_seconds"),
-        F.median("bunch_threshold_seconds").alias("bunch_threshold_seconds"),
-        F.count_distinct("logged_at").alias("snapshots_flagged"),
+        F.min("scheduled_headway_seconds").alias("scheduled_headway_seconds"),
+        F.min("bunch_threshold_seconds").alias("bunch_threshold_seconds"),
+        F.size(F.collect_set("logged_at")).cast("bigint").alias("snapshots_flagged"),
         _text_list("source_db").alias("source_files"),
-        _text_list("headway_source").alias("headway_source"),
+        F.min("headway_source").alias("headway_source"),
     )
     spans = {
         "first_seen": "__seen_from",

@@ -51,12 +51,33 @@ def trip_stop_schedule(timed: DataFrame) -> DataFrame:
 
 
 def stop_facts(timed: DataFrame) -> DataFrame:
-    """Scheduled arrival and terminal flag, one row per (trip, stop)."""
-    terminals = trip_terminal_stops(timed).withColumn("is_terminal", F.lit(True))
+    """Scheduled arrival and terminal flag, one row per (trip, stop).
+
+    The same as `trip_stop_schedule` with `trip_terminal_stops` joined to it, from one
+    scan: each stop's lowest and highest place in the trip is enough to tell the ends.
+    """
+    place = F.when(
+        F.col("stop_sequence_num").isNotNull(),
+        F.struct("stop_sequence_num", "scheduled_arrival_seconds", "stop_id"),
+    )
+    trip = Window.partitionBy("trip_id")
     return (
-        trip_stop_schedule(timed)
-        .join(terminals, ["trip_id", "stop_id"], "left")
-        .withColumn("is_terminal", F.coalesce("is_terminal", F.lit(False)))
+        timed.dropna(subset=["trip_id", "stop_id"])
+        .groupBy("trip_id", "stop_id")
+        .agg(
+            F.min(place).alias("low"),
+            F.max(place).alias("high"),
+            F.min("scheduled_arrival_seconds").alias("earliest"),
+        )
+        .select(
+            "trip_id",
+            "stop_id",
+            F.coalesce("low.scheduled_arrival_seconds", "earliest").alias("scheduled_arrival_seconds"),
+            F.coalesce(
+                (F.col("low") == F.min("low").over(trip)) | (F.col("high") == F.max("high").over(trip)),
+                F.lit(False),
+            ).alias("is_terminal"),
+        )
     )
 
 

@@ -26,10 +26,16 @@ SAMPLE_SEED = 101
 EVENT_KEY = ["date", "route_id", "stop_id", "prev_trip_id", "trip_id"]
 
 
-def nonterminal_updates(updates: DataFrame) -> DataFrame:
+def observed_bounds(updates: DataFrame) -> DataFrame:
+    """Bounds of every trip. Save them with `saved_lookup` before a large run."""
+    return trip_bounds(nonnull_updates(updates, "arrival_time", "trip_id"))
+
+
+def nonterminal_updates(updates: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Usable observations away from the observed ends of their trip, copies counted."""
-    bounds = trip_bounds(nonnull_updates(updates, "arrival_time", "trip_id"))
     usable = nonnull_updates(updates, "arrival_time", "trip_id", "route_id", "stop_id", "logged_at")
+    if bounds is None:
+        bounds = observed_bounds(updates)
     return drop_observed_terminals(counted_updates(usable), bounds)
 
 
@@ -51,13 +57,18 @@ def with_capture_time(df: DataFrame) -> DataFrame:
     )
 
 
-def bunched_observations(updates: DataFrame, config: FixedConfig = FixedConfig()) -> DataFrame:
+def bunched_observations(
+    updates: DataFrame, config: FixedConfig = FixedConfig(), bounds: DataFrame | None = None
+) -> DataFrame:
     """Pairs at most the threshold apart, one row per distinct sighting."""
-    return observed_headways(nonterminal_updates(updates), max_gap=config.threshold_seconds)
+    return observed_headways(nonterminal_updates(updates, bounds), max_gap=config.threshold_seconds)
 
 
 def detect_fixed(
-    updates: DataFrame, trips: DataFrame | None = None, config: FixedConfig = FixedConfig()
+    updates: DataFrame,
+    trips: DataFrame | None = None,
+    config: FixedConfig = FixedConfig(),
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """One event per pair, stop and capture date.
 
@@ -65,7 +76,7 @@ def detect_fixed(
     to the collapsed events rather than to every sighting.
     """
     events = (
-        bunched_observations(updates, config)
+        bunched_observations(updates, config, bounds)
         .groupBy(F.to_date("logged_at").alias("date"), *EVENT_KEY[1:])
         .agg(F.min("logged_at").alias("logged_at"), F.min("headway_seconds").alias("headway_seconds"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import DataFrame
 
 from headwise.config import ScheduledConfig
@@ -11,6 +13,8 @@ from headwise.operators.events import (
     dedupe_observations,
     event_table,
     localise,
+    route_labels,
+    stop_places,
     with_headsigns,
     with_labels,
 )
@@ -31,9 +35,10 @@ from headwise.operators.timetable import (
     trip_dimension,
 )
 from headwise.operators.updates import distinct_updates, nonnull_updates, with_direction
+from headwise.session import BROADCAST_ROWS, saved_lookup
 from headwise.sources.static import Timetable
 
-# The order T10 gives the event table when it is written or listed.
+# The order of the event table when it is written.
 EVENT_ORDER = [
     "event_date",
     "route_label",
@@ -45,40 +50,84 @@ EVENT_ORDER = [
 ]
 
 
-def directed_updates(updates: DataFrame, timetable: Timetable) -> DataFrame:
+@dataclass(frozen=True)
+class TimetableIndex:
+    """What detection looks up in a timetable, one row per key in every frame."""
+
+    zone: str
+    trips: DataFrame
+    facts: DataFrame
+    fallbacks: DataFrame
+    labels: DataFrame
+    places: DataFrame
+
+    def saved(self, folder: str, broadcast_rows: int = BROADCAST_ROWS) -> TimetableIndex:
+        """Write the lookups once and use the files from then on.
+
+        A timetable serves months of observations; written, its lookups are not derived
+        again by every run.
+        """
+        names = [f.name for f in fields(self) if f.name != "zone"]
+        return replace(
+            self,
+            **{
+                name: saved_lookup(getattr(self, name), f"{folder.rstrip('/')}/{name}", broadcast_rows)
+                for name in names
+            },
+        )
+
+
+def index_timetable(timetable: Timetable, config: ScheduledConfig = ScheduledConfig()) -> TimetableIndex:
+    """The lookups as lazy frames."""
+    timed = parse_stop_times(timetable.stop_times)
+    gaps = scheduled_gaps(timed, timetable.trips, config.max_scheduled_headway_seconds)
+    return TimetableIndex(
+        zone=timetable.zone,
+        trips=trip_dimension(timetable.trips),
+        facts=stop_facts(timed),
+        fallbacks=fallback_headways(gaps),
+        labels=route_labels(timetable.routes),
+        places=stop_places(timetable.stops),
+    )
+
+
+def directed_updates(updates: DataFrame, trips: DataFrame) -> DataFrame:
     """Usable observations, each once per capture, with direction and headsign."""
     usable = nonnull_updates(updates, "arrival_time", "trip_id", "route_id", "stop_id")
-    return with_direction(distinct_updates(usable), trip_dimension(timetable.trips))
+    return with_direction(distinct_updates(usable), trips)
 
 
-def timed_pairs(updates: DataFrame, timetable: Timetable, config: ScheduledConfig) -> DataFrame:
+def timed_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
     """Candidate pairs that carry both vehicles' scheduled arrival and terminal flag."""
-    facts = stop_facts(parse_stop_times(timetable.stop_times))
-    return candidate_pairs(with_stop_facts(directed_updates(updates, timetable), facts), config, STOP_FACTS)
+    directed = directed_updates(updates, index.trips).drop("trip_headsign")
+    return candidate_pairs(with_stop_facts(directed, index.facts), config, STOP_FACTS)
 
 
-def resolved_pairs(updates: DataFrame, timetable: Timetable, config: ScheduledConfig) -> DataFrame:
+def resolved_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
     """Candidate pairs away from terminals, with the headway they are held against."""
-    pairs = timed_pairs(updates, timetable, config)
+    pairs = timed_pairs(updates, index, config)
     if config.include_terminals:
         pairs = pairs.drop("lead_is_terminal", "trailing_is_terminal")
     else:
         pairs = drop_terminal_pairs(pairs)
-    gaps = scheduled_gaps(
-        parse_stop_times(timetable.stop_times), timetable.trips, config.max_scheduled_headway_seconds
-    )
-    return resolve_headway(pair_headway(pairs, config), fallback_headways(gaps), config)
+    return resolve_headway(pair_headway(pairs, config), index.fallbacks, config)
 
 
-def bunched_pairs(updates: DataFrame, timetable: Timetable, config: ScheduledConfig) -> DataFrame:
-    return keep_bunched(resolved_pairs(updates, timetable, config), config)
+def bunched_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
+    return keep_bunched(resolved_pairs(updates, index, config), config)
 
 
 def detect_scheduled(
-    updates: DataFrame, timetable: Timetable, config: ScheduledConfig = ScheduledConfig()
+    updates: DataFrame,
+    timetable: Timetable | TimetableIndex,
+    config: ScheduledConfig = ScheduledConfig(),
 ) -> DataFrame:
-    """The event table. Observations are shuffled twice, bunched pairs once."""
-    pairs = co_locate_events(localise(bunched_pairs(updates, timetable, config), timetable.zone))
-    events = collapse_observations(dedupe_observations(pairs), timetable.zone)
-    labelled = with_labels(events, timetable.routes, timetable.stops)
-    return event_table(with_headsigns(labelled, trip_dimension(timetable.trips)))
+    """The event table. Observations are shuffled twice, bunched pairs once.
+
+    Give a saved `TimetableIndex` for anything large; it must have been made with the
+    same `max_scheduled_headway_minutes`.
+    """
+    index = timetable if isinstance(timetable, TimetableIndex) else index_timetable(timetable, config)
+    pairs = co_locate_events(localise(bunched_pairs(updates, index, config), index.zone))
+    events = collapse_observations(dedupe_observations(pairs), index.zone)
+    return event_table(with_headsigns(with_labels(events, index.labels, index.places), index.trips))

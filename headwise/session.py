@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Most rows a saved lookup may have to be sent whole to every executor (about 100 bytes
+# each). A larger one is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -14,18 +19,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and
-    recorded in the session, so that later calls find the same one.
+    Only where that is unset, as in tests on one machine, a temporary folder is made,
+    one per application.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="headwise-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.mkdtemp(prefix="headwise-")
+        named = _own_folders[application]
     return named.rstrip("/")
 
 
@@ -38,3 +46,13 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write a frame as Parquet and read it back: cuts lineage, survives executor loss."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_lookup(df: DataFrame, path: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup written once, and broadcast from then on if its row count allows.
+
+    The count is read from file footers. Knowing it before a join is planned keeps the
+    large side from being shuffled to meet a lookup that turns out to be small.
+    """
+    written = materialise(df, path)
+    return F.broadcast(written) if written.count() <= broadcast_rows else written
