@@ -12,7 +12,10 @@ _NO_STAMP = -(2**63)
 
 
 def nonnull_updates(updates: DataFrame, *columns: str) -> DataFrame:
-    return updates.dropna(subset=list(columns))
+    """Rows with all of `columns`; unlike `dropna`, the condition reaches the file scan."""
+    for column in columns:
+        updates = updates.where(F.col(column).isNotNull())
+    return updates
 
 
 def distinct_updates(updates: DataFrame) -> DataFrame:
