@@ -3,10 +3,12 @@
 from headwise.config import FixedConfig, ScheduledConfig
 from headwise.plans.fixed import detect_fixed
 from headwise.plans.ingest import ingest
-from headwise.plans.scheduled import detect_scheduled
-from headwise.session import configure
+from headwise.plans.marts import chart_tables
+from headwise.plans.report import report_tables
+from headwise.plans.scheduled import TimetableIndex, detect_scheduled, index_timetable
+from headwise.session import configure, saved_lookup
 from headwise.sources.captures import list_captures, read_captures
-from headwise.sources.events import read_events, write_events
+from headwise.sources.events import read_events, write_events, write_tables
 from headwise.sources.static import Timetable, read_static
 from headwise.sources.tables import ensure_tables, read_observations
 from headwise.streaming.ingest import ingest_feeds, stream_ingest
@@ -15,10 +17,13 @@ __all__ = [
     "FixedConfig",
     "ScheduledConfig",
     "Timetable",
+    "TimetableIndex",
+    "chart_tables",
     "configure",
     "detect_fixed",
     "detect_scheduled",
     "ensure_tables",
+    "index_timetable",
     "ingest",
     "ingest_feeds",
     "list_captures",
@@ -26,6 +31,9 @@ __all__ = [
     "read_events",
     "read_observations",
     "read_static",
+    "report_tables",
+    "saved_lookup",
     "stream_ingest",
     "write_events",
+    "write_tables",
 ]

@@ -43,7 +43,7 @@ def with_previous(
     slotted = (
         _with_tail_copies(rows, time, width, max_gap)
         if max_gap is not None
-        else _with_last_rows(rows, group, time, order, list(carry.values()), width)
+        else _with_last_rows(rows, group, time, order, width)
     )
     window = Window.partitionBy(*group, _SLOT).orderBy(time, *order)
     return (
@@ -71,22 +71,19 @@ def _with_tail_copies(rows: DataFrame, time: str, width: int, max_gap: int) -> D
 
 
 def _with_last_rows(
-    rows: DataFrame,
-    group: Sequence[str],
-    time: str,
-    order: Sequence[str],
-    carried: Sequence[str],
-    width: int,
+    rows: DataFrame, group: Sequence[str], time: str, order: Sequence[str], width: int
 ) -> DataFrame:
     slotted = rows.withColumn(_SLOT, _slot(time, width))
-    payload = list(dict.fromkeys([time, *order, *carried]))
+    # All columns, though few are read: both branches of the union then ask the same of
+    # `rows`, and Spark computes its last shuffle once.
+    payload = [time, *order, *[c for c in rows.columns if c not in {time, *order, *group}]]
     # One row per (group, slot): the window below sees slots, never observations.
     last = slotted.groupBy(*group, _SLOT).agg(F.max(F.struct(*payload)).alias("__last"))
     by_slot = Window.partitionBy(*group).orderBy(_SLOT)
     context = (
         last.withColumn("__next", F.lead(_SLOT).over(by_slot))
         .where(F.col("__next").isNotNull())
-        .select(*group, *[F.col(f"__last.{c}").alias(c) for c in payload], F.col("__next").alias(_SLOT))
+        .select(*group, F.col("__next").alias(_SLOT), "__last.*")
         .withColumn(_CONTEXT, F.lit(True))
     )
-    return slotted.withColumn(_CONTEXT, F.lit(False)).unionByName(context, allowMissingColumns=True)
+    return slotted.withColumn(_CONTEXT, F.lit(False)).unionByName(context)

@@ -119,3 +119,18 @@ def route_summary(events: DataFrame) -> DataFrame:
         .join(hour, "route_label", "left")
         .orderBy(_most(), "route_label")
     )
+
+
+def chart_tables(
+    events: DataFrame, routes: int = TOP_ROUTES, stops: int = TOP_STOPS
+) -> dict[str, DataFrame]:
+    """Every chart table by name. Give an event table that has been written."""
+    return {
+        "top_routes": top_routes(events, routes),
+        "top_route_directions": top_route_directions(events, routes),
+        "top_stops": top_stops(events, stops),
+        "events_by_hour": events_by_hour(events),
+        "route_hour_matrix": route_hour_matrix(events, routes),
+        "stop_locations": stop_locations(events, stops),
+        "route_summary": route_summary(events),
+    }

@@ -137,3 +137,20 @@ def event_listing(events: DataFrame) -> DataFrame:
         "headway_source",
         "source_files",
     )
+
+
+def report_tables(events: DataFrame) -> dict[str, DataFrame]:
+    """Every table of the report by name. Give an event table that has been written."""
+    return {
+        "event_totals": event_totals(events),
+        "top_route_directions": top_route_directions(events),
+        "top_stops": top_stops(events),
+        "top_route_direction_stops": top_route_direction_stops(events),
+        "top_date_hours": top_date_hours(events),
+        "route_totals": route_totals(events),
+        "route_top_stops": route_top_stops(events),
+        "route_top_hours": route_top_hours(events),
+        "route_direction_split": route_direction_split(events),
+        "route_breakdown": route_breakdown(events),
+        "event_listing": event_listing(events),
+    }

@@ -10,6 +10,7 @@ from headwise.session import configure
 def spark():
     session_ = configure(session("local[4]"))
     session_.conf.set("spark.sql.shuffle.partitions", "4")
+    session_.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session_
     session_.stop()
 

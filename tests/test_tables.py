@@ -4,6 +4,7 @@ import pytest
 
 from headwise.plans import marts, report
 from headwise.schemas import EVENTS
+from headwise.sources.events import write_tables
 from tests.micro import rows
 
 
@@ -93,6 +94,13 @@ def test_marker_sizes_and_labels(spark):
     assert [r.labelled for r in chart] == [True] * 10 + [False] * 2
 
 
+def test_all_tables_are_written(spark, events, scratch):
+    for frames in (report.report_tables(events), marts.chart_tables(events, 3, 3)):
+        write_tables(frames, scratch)
+        for name, frame in frames.items():
+            assert spark.read.option("header", True).csv(f"{scratch}/{name}").count() == frame.count() > 0
+
+
 def test_route_direction_labels(events):
     assert [tuple(r) for r in marts.top_route_directions(events, 2).collect()] == [("1 dir 0", 5), ("2 dir 0", 1)]
     assert [tuple(r) for r in marts.top_routes(events, 1).collect()] == [("1", 5, 3)]
