@@ -11,19 +11,20 @@ from headwise.schemas import EVENTS
 
 # One observation of one pair, whichever capture it was read from.
 OBSERVATION = [
-    "route_id",
-    "direction_id",
-    "stop_id",
-    "lead_trip_id",
+    "trailing_arrival_time",
+    "lead_arrival_time",
     "trailing_trip_id",
+    "lead_trip_id",
     "logged_at",
     "feed_timestamp",
-    "lead_arrival_time",
-    "trailing_arrival_time",
+    "stop_id",
+    "route_id",
+    "direction_id",
 ]
 
 # One pair at one stop on one day. Labels follow from these and are joined later.
-EVENT = ["event_date", "route_id", "direction_id", "stop_id", "lead_trip_id", "trailing_trip_id"]
+# What differs most comes first, which is what sorts compare first.
+EVENT = ["trailing_trip_id", "lead_trip_id", "stop_id", "event_date", "route_id", "direction_id"]
 
 
 def localise(pairs: DataFrame, zone: str) -> DataFrame:
@@ -102,7 +103,7 @@ def co_locate_events(pairs: DataFrame) -> DataFrame:
 
 def dedupe_observations(pairs: DataFrame) -> DataFrame:
     """Each observation once, from the capture that sorts first."""
-    window = Window.partitionBy("event_date", *OBSERVATION).orderBy("source_db")
+    window = Window.partitionBy(*OBSERVATION, "event_date").orderBy("source_db")
     return pairs.withColumn("__copy", F.row_number().over(window)).where("__copy = 1").drop("__copy")
 
 

@@ -80,7 +80,7 @@ def candidate_pairs(updates: DataFrame, config: ScheduledConfig, carry: list[str
     cap = config.candidate_cap_seconds
     linked = with_previous(
         updates,
-        group=["source_db", "logged_at", "route_id", "stop_id", "direction_id"],
+        group=["logged_at", "route_id", "stop_id", "direction_id", "source_db"],
         time="arrival_time",
         order=["trip_id", "stop_sequence"],
         carry={f"lead_{name}": name for name in carry},

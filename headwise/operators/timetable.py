@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwise.functions import clock_seconds, to_number
 from headwise.operators.ranking import one_per_key
 
-STOP_GROUP = ["service_id", "route_id", "direction_id", "stop_id"]
+STOP_GROUP = ["stop_id", "route_id", "direction_id", "service_id"]
 
 
 def parse_stop_times(stop_times: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def scheduled_gaps(timed: DataFrame, trips: DataFrame, max_gap_seconds: float) -
     distinct times. That also bounds its groups by the seconds of a service day.
     """
     arrivals = (
-        timed.join(trips.select("trip_id", "service_id", "route_id", "direction_id"), "trip_id")
+        timed.where(F.col("stop_id").isNotNull())
+        .join(trips.select("trip_id", "service_id", "route_id", "direction_id"), "trip_id")
         .select(*STOP_GROUP, "scheduled_arrival_seconds")
         .distinct()
     )
