@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +18,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
+    """The folder the cluster names in `spark.checkpoint.dir`, else one in the warehouse.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made,
-    one per application.
+    Both are places that the driver and all executors see. There is no fallback to a
+    folder of one machine: what one executor wrote there another could not read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        application = spark.sparkContext.applicationId
-        if application not in _own_folders:
-            _own_folders[application] = tempfile.mkdtemp(prefix="headwise-")
-        named = _own_folders[application]
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return named.rstrip("/")
 
 
