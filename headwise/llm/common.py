@@ -77,18 +77,18 @@ def _powers(count: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-_BASE = 0x9E3779B97F4A7C15
-_kept: list[tuple[np.ndarray, np.ndarray]] = []
+BASE = 0x9E3779B97F4A7C15
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i for i < count; the usual size is kept by the worker."""
-    if not _kept:
-        size = CHUNK_BYTES + 1
-        _kept.append((_powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))))
-    if count <= len(_kept[0][0]):
-        return _kept[0]
-    return _powers(count, _BASE), _powers(count, pow(_BASE, -1, 1 << 64))
+def power_tables(count: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i (mod 2^64) for i < count; the usual size is kept by the worker."""
+    inverse = pow(base, -1, 1 << 64)
+    if base not in _kept:
+        _kept[base] = _powers(CHUNK_BYTES + 1, base), _powers(CHUNK_BYTES + 1, inverse)
+    if count <= len(_kept[base][0]):
+        return _kept[base]
+    return _powers(count, base), _powers(count, inverse)
 
 
 @lru_cache
@@ -125,7 +125,7 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     end = np.flatnonzero(inside & ~after) + 1
     if not len(start):
         return start, end, np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.cumsum(codes * power[: len(codes)], dtype=np.uint64)
     total = sums[end - 1] - sums[start] + codes[start] * power[start]
     return start, end, mixed(total * inverse[start])

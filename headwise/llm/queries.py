@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import exact_dedup, mixing, simhash
+from headwise.llm import exact_dedup, mixing, simhash, token_output
 from headwise.llm.common import documents
+from headwise.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    token_output.write_sequences(documents(spark, sf_dir), folder, tokenizer_path(), end_id=2)
+    return token_output.read_digests(spark, folder)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=2, seed=42)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -28,7 +41,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash, op6_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op3_simhash, op6_exact_dedup, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
