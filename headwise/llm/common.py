@@ -110,8 +110,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, 64-bit hash) of every word; words never cross row bounds."""
+def hashed_words(
+    data: np.ndarray, bounds: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, 64-bit hash) of every word; words never cross row bounds.
+
+    With `prefixes` there is a row of hashes for the words, and one for each length given, of
+    the words' first bytes.
+    """
     codes = word_table()[data]
     inside = codes != 0
     edge = bounds[:-1][np.diff(bounds) > 0]
@@ -124,11 +130,15 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     after[bounds[1:][np.diff(bounds) > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     if not len(start):
-        return start, end, np.zeros(0, np.uint64)
+        return start, end, np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
     power, inverse = power_tables(len(data) + 1)
     sums = np.cumsum(codes * power[: len(codes)], dtype=np.uint64)
-    total = sums[end - 1] - sums[start] + codes[start] * power[start]
-    return start, end, mixed(total * inverse[start])
+    below, scale = sums[start] - codes[start] * power[start], inverse[start]
+    words = mixed((sums[end - 1] - below) * scale)
+    if not prefixes:
+        return start, end, words
+    first = [mixed((sums[np.minimum(end, start + k) - 1] - below) * scale + np.uint64(k)) for k in prefixes]
+    return start, end, np.stack([words, *first])
 
 
 def word_hash(word: str) -> int:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import exact_dedup, mixing, simhash, token_output
-from headwise.llm.common import documents
+from headwise.llm import exact_dedup, mixing, simhash, token_output, toxicity
+from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, labels, held_out=held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "toxic_sentences")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -41,7 +50,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_simhash, op6_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op3_simhash, op5_toxicity, op6_exact_dedup, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
