@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import exact_dedup, mixing, simhash, token_output, toxicity
+from headwise.llm import decontamination, exact_dedup, mixing, simhash, token_output, toxicity
 from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
@@ -31,6 +31,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per benchmark item found in a document; documents without any give none."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -50,7 +57,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_simhash, op5_toxicity, op6_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
