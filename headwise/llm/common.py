@@ -93,7 +93,7 @@ def power_tables(count: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache
 def word_table() -> np.ndarray:
-    """Lower-cased byte of each byte that belongs to words (letters, digits, beyond ASCII), else 0."""
+    """Each byte that belongs to words (letters, digits, all beyond ASCII), A-Z lower-cased; else 0."""
     table = np.zeros(256, np.uint64)
     for byte in (*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)):
         table[byte] = byte
@@ -115,11 +115,15 @@ def hashed_words(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, 64-bit hash) of every word; words never cross row bounds.
 
-    With `prefixes` there is a row of hashes for the words, and one for each length given, of
+    ASCII and accented Latin capitals count as small letters. With `prefixes` there is a row of hashes for the words, and one for each length given, of
     the words' first bytes.
     """
     codes = word_table()[data]
     inside = codes != 0
+    lead = np.flatnonzero(data == 0xC3)
+    capital = lead[(lead + 1 < len(data))] + 1  # second bytes of accented Latin letters
+    capital = capital[(data[capital] >= 0x80) & (data[capital] <= 0x9E) & (data[capital] != 0x97)]
+    codes[capital] += np.uint64(32)
     edge = bounds[:-1][np.diff(bounds) > 0]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
