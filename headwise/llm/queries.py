@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, exact_dedup, mixing, simhash, token_output, toxicity
+from headwise.llm import decontamination, exact_dedup, language, mixing, simhash, token_output, toxicity
 from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
@@ -26,6 +26,14 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, folder)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder("doc_id", 3) == 1
+    model = language.train(docs, held_out=held_out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=2, seed=42)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -57,7 +65,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
