@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, exact_dedup, language, mixing, simhash, token_output, toxicity
+from headwise.llm import decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
 from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
@@ -64,8 +64,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.withColumn("taken", F.col("size") * F.col("copies")).drop("copies")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(pages, model).drop("url")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
