@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
+from headwise.llm import chat, decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
 from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
@@ -70,12 +70,21 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).drop("url")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its recovered role; learned from the transcripts that aren't held out."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    held_out = remainder("conv_id", 5) == 0
+    model = chat.train(turns, held_out=held_out)
+    found = chat.format_turns(turns, model)
+    return found.select("conv_id", "turn", held_out.alias("held_out"), "role", "role_pred", "rendered")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing, op8_url_filter, op9_chat_format, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
