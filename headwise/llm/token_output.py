@@ -2,10 +2,10 @@
 
 A folder holds, per shard,
 
-    tokens-00000.arrows   record batches (ids: fixed_size_list<uint32>[L], mask: fixed_size_list<uint8>[L])
+    tokens-00000.arrows   record batches (ids: fixed_size_list<uint16>[L], mask: fixed_size_list<bool>[L])
     index-00000.arrows    record batches (doc_id: int64, start: int64, n_tokens: int64)
 
-in Arrow's stream format. A shard's documents stand in ascending id order, one after another
+in Arrow's stream format; ids are uint32 for vocabularies beyond 65,536. A shard's documents stand in ascending id order, one after another
 and each closed by the end id, cut into sequences of L ids; only the last sequence is
 padded, with mask 0. All batches but the last have the same number of sequences, so sequence i lies in a known
 batch at a known row, and a memory map gives it without copying. `start` counts ids from
@@ -231,20 +231,25 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def _fixed(values: np.ndarray, length: int) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(values), length)
+def id_type(tokenizer: str, end_id: int) -> np.dtype:
+    """The narrower of the two types that holds all ids."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return np.dtype(np.uint16 if max(end_id, *known) < 1 << 16 else np.uint32)
 
 
 class ShardWriter:
     """Writes one shard, a batch of sequences at a time, under names of its own; `close` renames."""
 
-    def __init__(self, folder: str, shard: int, length: int, rows: int) -> None:
+    def __init__(self, folder: str, shard: int, length: int, rows: int, dtype: np.dtype) -> None:
         self._fs, self._folder = _filesystem(folder)
         self._fs.create_dir(self._folder, recursive=True)
         self._mark = f".{uuid.uuid4().hex}"
         self._names = [f"{self._folder}/{kind}-{shard:05d}.arrows" for kind in ("tokens", "index")]
-        self._length, self._rows = length, rows
-        self._schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self._length, self._rows, self._dtype = length, rows, dtype
+        kinds = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.bool_(), length)
+        self._schema = pa.schema(list(zip(("ids", "mask"), kinds)))
         self._index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self._sinks = [self._fs.open_output_stream(name + self._mark) for name in self._names]
         self._tokens = pa.ipc.new_stream(self._sinks[0], self._schema)
@@ -271,11 +276,10 @@ class ShardWriter:
         self._left, self._waiting = [ids[full:]], len(ids) - full
 
     def _write(self, ids: np.ndarray, size: int) -> None:
-        mask = np.zeros(size, np.uint8)
-        mask[: len(ids)] = 1
-        padded = np.zeros(size, np.uint32)
+        padded = np.zeros(size, self._dtype)
         padded[: len(ids)] = ids
-        columns = [_fixed(padded, self._length), _fixed(mask, self._length)]
+        flat = pa.array(padded), pa.array(np.arange(size) < len(ids))
+        columns = [pa.FixedSizeListArray.from_arrays(x, self._length) for x in flat]
         self._tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self._schema))
 
     def close(self) -> None:
@@ -324,12 +328,14 @@ def write_sequences(
         size = rows_of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
 
+    dtype = id_type(tokenizer, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, shard = None, TaskContext.get().partitionId()
         encode = encoder(tokenizer).encode
         for batch in batches:
             for part in _slices(batch):
-                writer = writer or ShardWriter(folder, shard, length, rows)
+                writer = writer or ShardWriter(folder, shard, length, rows, dtype)
                 ids, counts = encode(part.column(1))
                 whole = np.full(len(ids) + len(counts), end_id, np.uint32)
                 keep = np.ones(len(whole), bool)
@@ -414,8 +420,8 @@ def _read(spark: SparkSession, folder: str, schema: str, of_ids) -> DataFrame:
 
 
 def _unpadded(batch: pa.RecordBatch) -> np.ndarray:
-    mask = batch.column("mask").flatten().to_numpy()
-    return batch.column("ids").flatten().to_numpy()[mask.astype(bool)]
+    mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
+    return batch.column("ids").flatten().to_numpy()[mask].astype(np.uint32)
 
 
 class Sequences:
@@ -429,14 +435,9 @@ class Sequences:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self._batches)
 
-    def __getitem__(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, at: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of sequence `at`, as views of the file."""
         if not 0 <= at < len(self):
             raise IndexError(at)
-        batch, row = self._batches[at // self._rows], at % self._rows
-        return tuple(
-            batch.column(name).flatten().to_numpy(zero_copy_only=True)[row * batch.column(name).type.list_size :][
-                : batch.column(name).type.list_size
-            ]
-            for name in ("ids", "mask")
-        )
+        ids, mask = (self._batches[at // self._rows].column(name)[at % self._rows].values for name in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
