@@ -82,8 +82,18 @@ def _tally(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word or beginning in documents (label, text): how many of each class have it."""
-    parts = []
+    """Per word or beginning in documents (label, text): how many of each class have it.
+
+    Partial counts go out whenever half a million entries have gathered; they are added up later.
+    """
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def gathered() -> pa.RecordBatch:
+        different, toxic, clean = _tally(*(np.concatenate(x) for x in zip(*parts)))
+        parts.clear()
+        columns = [different.view(np.int64), toxic, clean]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["word", "toxic", "clean"])
+
     for batch in batches:
         labels = batch.column(0).to_numpy()
         for first, data, bounds in byte_chunks(batch.column(1)):
@@ -96,12 +106,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
             label = labels[first + row[fresh]]
             parts.append(_tally(found[fresh], label, 1 - label))
+            if sum(len(p[0]) for p in parts) > 500_000:
+                yield gathered()
     if parts:
-        different, toxic, clean = _tally(*(np.concatenate(x) for x in zip(*parts)))
-        for at in range(0, len(different), 100_000):
-            part = slice(at, at + 100_000)
-            columns = [different[part].view(np.int64), toxic[part], clean[part]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["word", "toxic", "clean"])
+        yield gathered()
 
 
 def _vocabulary(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
