@@ -157,11 +157,9 @@ def _gram_pass(idf: np.ndarray, basis: np.ndarray | None, width: int, seed: int)
             for text in batch.column(0).to_pylist():
                 for at, weight in _unit_rows(text, idf):
                     np.add.at(total, at, weight[:, None] * (weight @ x[at])[None, :])
-        used = np.split(total, _SLICES)
-        keep = [s for s in range(_SLICES) if used[s].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keep, pa.int32()), pa.array([used[s].tobytes() for s in keep], pa.binary())], ["slice", "data"]
-        )
+        rows = np.flatnonzero(total.any(axis=1))
+        columns = [pa.array(rows.astype(np.int32)), pa.array([total[r].tobytes() for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["slice", "data"])
 
     return run
 
@@ -170,7 +168,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: in
     """Right singular vectors (FEATURES x rank) of the benchmark's TF-IDF passages.
 
     Randomised subspace iteration: each round multiplies the basis by A'A in one pass over
-    the passages, summed by slices of features, and makes it orthonormal. What reaches
+    the passages, summed by feature, and makes it orthonormal. What reaches
     the driver has a fixed size, whatever the number of items.
     """
     ship(items.sparkSession)
@@ -179,13 +177,14 @@ def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: in
     for _ in range(rounds + 1):
         parts = texts.mapInArrow(_gram_pass(idf, basis, rank, seed), "slice int, data binary")
         summed = parts.repartition(_SLICES, "slice").mapInArrow(_summed("f8"), "slice int, data binary")
-        total = np.zeros((_SLICES, FEATURES // _SLICES, rank))
-        for r in summed.collect():
-            total[r["slice"]] = np.frombuffer(r["data"], np.float64).reshape(-1, rank)
-        rows = np.flatnonzero(total.reshape(FEATURES, rank).any(axis=1))
+        found = summed.collect()
         basis = np.zeros((FEATURES, rank))
-        if len(rows):
-            basis[rows] = np.linalg.qr(total.reshape(FEATURES, rank)[rows], mode="reduced")[0] if len(rows) >= rank else np.eye(len(rows), rank)
+        if found:
+            rows = np.array([r["slice"] for r in found])
+            order = np.argsort(rows)
+            total = np.stack([np.frombuffer(found[i]["data"], np.float64) for i in order])
+            # With fewer features than directions the space is all of them.
+            basis[rows[order]] = np.linalg.qr(total)[0] if len(rows) >= rank else np.eye(len(rows), rank)
     return basis.astype(np.float32)
 
 
