@@ -22,9 +22,10 @@ from headwise.session import materialise, scratch_path
 
 #: Most labelled documents of each class that a model is fitted to.
 SAMPLE = 10_000
-#: Most words a model weighs, in how many toxic documents each must stand, and how far it must
-#: be from chance (chi square with one degree of freedom).
-WORDS, SUPPORT, CHI_SQUARE = 4096, 3, 20.0
+#: Most words a model weighs, in how many toxic documents each must stand, how far it must be
+#: from chance (chi square with one degree of freedom), and how many times as frequent it must be in
+#: toxic documents as in others: what is in most sentences can't tell which one is to blame.
+WORDS, SUPPORT, CHI_SQUARE, LIFT = 4096, 3, 20.0, 3.0
 #: Bytes of a word's beginnings, which count beside the whole word (inflected and compound words).
 BEGINNINGS = (4, 5, 6)
 #: Penalty on squared weights, and steps of the fit.
@@ -113,7 +114,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
-    """The words that labels depend on most, sorted."""
+    """The words that toxic labels depend on most, sorted."""
     counts = sample.select("label", "text").mapInArrow(_word_counts, "word long, toxic long, clean long")
     total = counts.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n1, n0 = (float(sizes.get(k, 0)) for k in (1, 0))
@@ -121,7 +122,7 @@ def _vocabulary(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
     n = n0 + n1
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (n - a - b) * n1 * n0)
     best = (
-        total.where(F.col("a") >= SUPPORT)
+        total.where((F.col("a") >= SUPPORT) & (a / n1 >= LIFT * b / n0))
         .withColumn("chi", F.when(F.col("a") + F.col("b") < n, chi))
         .where(F.col("chi") >= CHI_SQUARE)
         .orderBy(F.desc("chi"), "word")
@@ -228,13 +229,12 @@ def _fit(vocabulary: np.ndarray, sizes: dict[int, int], in_sample: dict[int, int
             return
         table = pa.Table.from_batches(parts)
         labels, counts = table["label"].to_numpy(), table["sentences"].to_numpy()
-        lists = [c.as_py() for c in table["sentence"]]
-        bag = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        sentence = np.fromiter((s for x in lists for s in x), np.int64, len(bag))
-        word = np.fromiter((w for x in table["word"] for w in x.as_py()), np.int64, len(bag))
-        _, own = np.unique(np.stack([bag, sentence]), axis=1, return_inverse=True)
+        sentences, words = (table[name].combine_chunks() for name in ("sentence", "word"))
+        bag = np.repeat(np.arange(len(labels)), sentences.value_lengths().to_numpy())
+        sentence, word = sentences.flatten().to_numpy(), words.flatten().to_numpy().astype(np.int64)
+        own = (np.cumsum(counts) - counts)[bag] + sentence  # numbered through
         weight = np.array([prior[k] for k in labels.tolist()])
-        fitted = fit_noisy_or(labels, counts, bag, own.ravel(), word, len(vocabulary), weight)
+        fitted = fit_noisy_or(labels, counts, bag, own, word, len(vocabulary), weight)
         names = np.concatenate([vocabulary.view(np.int64), [_BIAS]])
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(fitted)], ["word", "weight"])
 

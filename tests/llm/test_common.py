@@ -1,0 +1,166 @@
+"""Byte-array words, components, and what every operator does with awkward tables."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from headwise.llm import chat, decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
+from headwise.llm.common import byte_chunks, fresh_name, hashed_words, word_hash
+from headwise.llm.components import connected_components
+from headwise.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, id string, leaks int"
+LONG = "lorem ipsum dolor " * 60_000
+
+
+def awkward(spark):
+    rows = [
+        (1, "Some plain words here.", "en", "a", 5),
+        (1, "Some plain words here.", "en", "a", 5),
+        (2, "", None, None, 0),
+        (3, None, "de", "b", None),
+        (None, "no id at all", "en", None, 3),
+        (None, None, None, None, None),
+        (4, " \t\n\x0b\r", "fr", "b", 4),
+        (5, LONG, "en", "a", len(LONG)),
+        (6, "Ünïcode — 日本語 \U0001f600 İ", "xx", "é", 9),
+    ]
+    return spark.createDataFrame([(*r, "r", 0.5, "i", 1) for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return awkward(spark)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, None, 1), (5, 1, 0), (6, 1, None), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, None), (2, ""), (3, "Some plain words here."), (None, "lorem ipsum"), (3, "Some plain words here.")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_hashed_words_agree_with_a_regular_expression():
+    texts = ["Hello, hello World!", "", "a", "--", "x1 É é", "tail"] * 3
+    chunks = list(byte_chunks(pa.array(texts), 20))
+    assert sum(len(b) - 1 for _, _, b in chunks) == len(texts)
+    for first, data, bounds in chunks:
+        start, end, hashes = hashed_words(data, bounds)
+        row = np.searchsorted(bounds, start, "right") - 1
+        for i, text in enumerate(texts[first : first + len(bounds) - 1]):
+            words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+            assert [int(h) for h in hashes[row == i]] == [word_hash(w) for w in words]
+    long = "word " * 300_000
+    (_, data, bounds), = byte_chunks(pa.array([long]))
+    assert set(hashed_words(data, bounds)[2].tolist()) == {word_hash("word")}
+
+
+def test_word_beginnings_hash_alike():
+    data = np.frombuffer(b"abcdef abcdxy abc", np.uint8)
+    _, _, hashes = hashed_words(data, np.array([0, len(data)]), (4,))
+    assert hashes[1, 0] == hashes[1, 1] != hashes[1, 2] and len(set(hashes[0].tolist())) == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    draw = random.Random(seed)
+    edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200)]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    found = {r.node: r.root for r in connected_components(frame).collect()}
+    assert found == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_no_edges(spark):
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_fresh_names_ignore_case(spark):
+    assert fresh_name(spark.createDataFrame([], "Score int, score_ int"), "score") == "score__"
+
+
+OPERATORS = {
+    "simhash": lambda docs, labels, items: simhash.near_duplicates(docs),
+    "representatives": lambda docs, labels, items: simhash.representatives(docs),
+    "exact": lambda docs, labels, items: exact_dedup.exact_duplicates(docs),
+    "plan": lambda docs, labels, items: mixing.plan(docs),
+    "mix": lambda docs, labels, items: mixing.mix(docs),
+    "toxicity": lambda docs, labels, items: toxicity.score(docs, toxicity.train(docs, labels)),
+    "reject": lambda docs, labels, items: toxicity.reject(docs, toxicity.train(docs, labels)),
+    "leaks": lambda docs, labels, items: decontamination.find_leaks(docs, items),
+    "decontaminated": lambda docs, labels, items: decontamination.decontaminated(docs, items),
+    "language": lambda docs, labels, items: language.identify(docs, language.train(docs)),
+    "licences": lambda docs, labels, items: license_scan.scan(docs),
+}
+KEEPS_ROWS = {"simhash": 9, "exact": 9, "plan": 9, "toxicity": 9, "leaks": 9, "language": 9, "licences": 9}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(docs, labels, items, name):
+    found = OPERATORS[name](docs, labels, items)
+    rows = found.collect()
+    assert len(rows) == KEEPS_ROWS.get(name, len(rows))
+    assert len(set(c.lower() for c in found.columns)) == len(found.columns)
+    if name in ("representatives", "mix", "reject", "decontaminated"):
+        assert found.columns == docs.columns
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(docs, labels, items, name):
+    for tables in (
+        (docs.limit(0), labels.limit(0), items.limit(0)),
+        (docs.limit(0), labels, items),
+        (docs, labels.limit(0), items.limit(0)),
+    ):
+        count = OPERATORS[name](*tables).count()
+        assert count == 0 if tables[0] is not docs else count > 0
+
+
+def test_tokens_of_awkward_rows(spark, docs, tmp_path):
+    for part, frame in (("all", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{part}"
+        token_output.write_sequences(frame, folder, tokenizer_path(), end_id=2)
+        assert token_output.read_digests(spark, folder).count() == frame.count()
+
+
+def test_urls_that_are_odd(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    rows = [(None, "x"), ("", "x"), ("no scheme", "x"), ("http://", "x"), ("http://" + "a" * 50_000, "x"), ("http://", "x")]
+    pages = spark.createDataFrame(rows, "url string, host string")
+    found = url_filter.judge(pages, model)
+    assert found.columns == ["url", "host", "host_", "path", "rule", "verdict", "score"]
+    assert found.count() == 6 and {r.verdict for r in found.collect()} <= {"allow", "block"}
+    assert url_filter.judge(pages.limit(0), model).count() == 0
+
+
+def test_turns_that_are_odd(spark):
+    schema = "conv_id long, turn long, role string, text string, rendered string"
+    rows = [
+        (1, 0, "user", "hi", ""), (1, 0, "user", "hi", ""), (1, None, "user", "?", ""), (None, 1, None, None, ""),
+        (1, 1, "assistant", "", ""), (2, 5, None, "Assistant: " + LONG, ""), (1, 0, "user", "other", ""),
+    ]
+    turns = spark.createDataFrame(rows, schema)
+    found = chat.format_turns(turns, chat.train(turns))
+    assert found.columns == [*turns.columns, "role_pred", "rendered_"] and found.count() == len(rows)
+    assert found.where("role_pred IS NULL").count() == 0
+    assert chat.format_turns(turns.limit(0), chat.train(turns)).count() == 0
+    unlearned = chat.format_turns(turns, chat.train(turns.limit(0)))
+    assert unlearned.count() == len(rows) and unlearned.where("role_pred IS NOT NULL").count() == 0
+    assert turns.where(F.col("role").isNull()).count() == 2
