@@ -30,22 +30,28 @@ def _with(sql: str, *uses: str) -> str:
 
 _part("stop_time_updates")("""
     SELECT CAST(l_orderkey AS VARCHAR) AS trip_id,
-           CAST(l_orderkey % 5 AS VARCHAR) AS route_id,
-           CAST(l_linenumber AS BIGINT) AS stop_sequence,
-           CAST(l_partkey % 20 AS VARCHAR) AS stop_id,
-           CAST(s * (l_linenumber % 3) * 20 AS BIGINT) AS arrival_delay,
-           m + 28800 + CAST(l_quantity * 60 AS BIGINT) + CAST(s * (l_linenumber % 3) * 20 AS BIGINT) AS arrival_time,
-           CAST(s * (l_linenumber % 3) * 20 AS BIGINT) AS departure_delay,
-           m + 28830 + CAST(l_quantity * 60 AS BIGINT) + CAST(s * (l_linenumber % 3) * 20 AS BIGINT) AS departure_time,
-           m + 28800 + CAST(s * 20 AS BIGINT) AS feed_timestamp,
-           make_timestamp((m + 28800 + CAST(s * 20 AS BIGINT)) * 1000000) AS logged_at,
-           'capture_' || CAST(y AS VARCHAR) AS source_db
-    FROM (SELECT *, CAST(epoch(date_trunc('month', l_shipdate)) AS BIGINT) AS m, year(l_shipdate) AS y FROM lineitem) li
-    CROSS JOIN (VALUES (0), (1), (2)) AS snapshots(s)
+           CASE WHEN l_orderkey % 97 <> 0 THEN CAST(l_orderkey % 25 AS VARCHAR) END AS route_id,
+           CASE WHEN l_orderkey % 89 <> 0 THEN CAST(l_linenumber AS BIGINT) END AS stop_sequence,
+           CASE WHEN l_orderkey % 83 <> 0
+                THEN CAST((l_orderkey % 25 * 3 + l_partkey % 7) % 40 AS VARCHAR) END AS stop_id,
+           delay AS arrival_delay,
+           CASE WHEN l_orderkey % 79 <> 0 THEN t + CAST(l_quantity * 60 AS BIGINT) + delay END AS arrival_time,
+           delay AS departure_delay,
+           t + CAST(l_quantity * 60 AS BIGINT) + delay + 30 AS departure_time,
+           t + CAST(s * 20 AS BIGINT) AS feed_timestamp,
+           make_timestamp((t + CAST(s * 20 AS BIGINT)) * 1000000) AS logged_at,
+           capture || CAST(y AS VARCHAR) AS source_db
+    FROM (SELECT *, CAST(epoch(date_trunc('month', l_shipdate)) AS BIGINT) + 28 * 86400 + 1800
+                    + ((y * 12 + month(l_shipdate)) * 7 + 10) % 24 * 3600 AS t,
+                 CAST(s * (l_linenumber % 3) * 20 AS BIGINT) AS delay
+          FROM (SELECT *, year(l_shipdate) AS y FROM lineitem) li
+          CROSS JOIN (VALUES (0, 'capture_'), (1, 'capture_'), (2, 'capture_'), (1, 'copy+of%'), (3, 'copy+of%'))
+                     AS snapshots(s, capture)
+          WHERE capture = 'capture_' OR l_orderkey % 25 % 3 = 0) shots
 """)
 
 _part("trips")("""
-    SELECT CAST(o_orderkey % 5 AS VARCHAR) AS route_id,
+    SELECT CAST(o_orderkey % 25 AS VARCHAR) AS route_id,
            o_orderstatus AS service_id,
            CASE WHEN o_orderkey % 17 = 0 THEN 'unlisted-' ELSE '' END || CAST(o_orderkey AS VARCHAR) AS trip_id,
            o_orderpriority AS trip_headsign,
@@ -58,27 +64,27 @@ _part("stop_times")("""
            CASE WHEN l_orderkey % 29 = 0 THEN 'bad'
                 ELSE CAST(minute // 60 AS VARCHAR) || ':' || lpad(CAST(minute % 60 AS VARCHAR), 2, '0') || ':00'
            END AS arrival_time,
-           CAST(part % 20 AS VARCHAR) AS stop_id,
+           CAST((l_orderkey % 25 * 3 + part % 7) % 40 AS VARCHAR) AS stop_id,
            CAST(l_linenumber AS VARCHAR) AS stop_sequence
     FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, l_orderkey * 7 % 1440 + l_linenumber * 5 AS minute
           FROM lineitem GROUP BY l_orderkey, l_linenumber) li
 """)
 
 _part("routes")("""
-    SELECT CAST(r_regionkey AS VARCHAR) AS route_id,
-           CASE r_regionkey WHEN 4 THEN '' ELSE r_name END AS route_short_name,
-           'Line ' || r_name AS route_long_name,
-           CASE WHEN r_regionkey IN (1, 4) THEN '' ELSE 'Region ' || r_name END AS route_desc
-    FROM region
+    SELECT CAST(n_nationkey AS VARCHAR) AS route_id,
+           CASE n_nationkey WHEN 4 THEN '' ELSE n_name END AS route_short_name,
+           'Line ' || n_name AS route_long_name,
+           CASE WHEN n_nationkey IN (1, 4) THEN '' ELSE 'Nation ' || n_name END AS route_desc
+    FROM nation
 """)
 
 _part("stops")("""
-    SELECT CAST(p_partkey AS VARCHAR) AS stop_id,
-           CASE p_partkey WHEN 19 THEN '' ELSE p_name END AS stop_name,
-           CASE p_partkey WHEN 18 THEN 'n/a' ELSE printf('%.2f', 47.5 + p_partkey / 100.0) END AS stop_lat,
+    SELECT CAST(p_partkey % 40 AS VARCHAR) AS stop_id,
+           CASE p_partkey % 40 WHEN 19 THEN '' ELSE p_name END AS stop_name,
+           CASE p_partkey % 40 WHEN 18 THEN 'n/a' ELSE printf('%.2f', 47.5 + p_partkey / 100.0) END AS stop_lat,
            printf('%.2f', -122.3 + p_partkey / 100.0) AS stop_lon
     FROM part
-    WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_partkey % 20)
+    WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_partkey % 40)
 """)
 
 _part("vehicle_positions")("""
@@ -99,7 +105,7 @@ _part("vehicle_positions")("""
 # --- fixed threshold ---------------------------------------------------------------
 
 _part("bounds", "stop_time_updates")("""
-    SELECT trip_id, min(stop_sequence) AS trip_min_seq, max(stop_sequence) AS trip_max_seq
+    SELECT trip_id, min(stop_sequence) AS start, max(stop_sequence) AS finish
     FROM stop_time_updates WHERE arrival_time IS NOT NULL AND trip_id IS NOT NULL GROUP BY trip_id
 """)
 
@@ -107,7 +113,7 @@ _part("nonterminal", "stop_time_updates", "bounds")("""
     SELECT u.* FROM stop_time_updates u
     WHERE arrival_time IS NOT NULL AND route_id IS NOT NULL AND stop_id IS NOT NULL AND logged_at IS NOT NULL
       AND EXISTS (SELECT 1 FROM bounds b WHERE b.trip_id = u.trip_id
-                  AND u.stop_sequence > b.trip_min_seq AND u.stop_sequence < b.trip_max_seq)
+                  AND u.stop_sequence > b.start AND u.stop_sequence < b.finish)
 """)
 
 _part("headways", "nonterminal")("""
@@ -370,6 +376,25 @@ def oracle_sql() -> dict[str, str]:
         """,
         "new_vehicles", "new_updates",
     )
+    sql["ingest_cycle"] = _with(
+        """
+        SELECT 'vehicle_positions' AS feed, (SELECT count(*) FROM vehicle_positions) AS parsed_rows,
+               (SELECT count(*) FROM vehicle_batch) AS unique_rows, (SELECT count(*) FROM new_vehicles) AS new_rows,
+               CAST(NULL AS VARCHAR) AS error
+        UNION ALL
+        SELECT 'stop_time_updates', (SELECT count(*) FROM stop_time_updates), (SELECT count(*) FROM update_batch),
+               (SELECT count(*) FROM new_updates), NULL
+        """,
+        "vehicle_batch", "update_batch", "new_vehicles", "new_updates",
+    )
+    sql["compacted_updates"] = sql["insert_new_stop_updates"]
+    sql["stream_ingest_vehicles"] = _with(
+        f"""SELECT {_POSITION} FROM vehicle_positions
+            QUALIFY row_number() OVER (PARTITION BY vehicle_id, vehicle_timestamp,
+                CASE WHEN vehicle_id IS NULL THEN epoch(logged_at) % 86400 < 43200 END
+                ORDER BY logged_at, entity_index) = 1""",
+        "vehicle_positions",
+    )
     sql["capture_horizon"] = _with(
         """
         SELECT source_db, min(logged_at) AS start_t, max(logged_at) AS end_t FROM stop_time_updates GROUP BY source_db
@@ -384,6 +409,9 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT source_db, (SELECT count(*) FROM candidates c WHERE c.source_db = u.source_db) AS n
               FROM (SELECT DISTINCT source_db FROM stop_time_updates) u) counted
         UNION ALL SELECT 'capture_without_table', 'skipped: no stop_time_updates table'
+        UNION ALL SELECT 'capture_of_other_types', 'error: arrival_time is string, not bigint; no column departure_time'
+        UNION ALL SELECT 'capture_with_bad_file',
+            'error: a file cannot be read as Parquet, or files disagree on their columns'
         """,
         "candidates",
     )
@@ -414,6 +442,13 @@ def oracle_sql() -> dict[str, str]:
         "fixed_bunched",
     )
     sql["fixed_events"] = _with("SELECT * FROM fixed_events", "fixed_events")
+    sql["fixed_events_unnamed"] = _with(
+        "SELECT * REPLACE ('Unknown Destination' AS headsign) FROM fixed_events", "fixed_events"
+    )
+    sql["fixed_route_totals_unnamed"] = _with(
+        "SELECT route_id, 'ID-' || route_id AS route_name, count(*) AS events FROM fixed_events GROUP BY route_id",
+        "fixed_events",
+    )
     sql["fixed_sample_log"] = _with(
         """
         SELECT e.*, CASE WHEN r.route_short_name <> '' THEN r.route_short_name ELSE 'ID-' || e.route_id END AS route_name,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ from headwise.operators import events as ev
 from headwise.operators import pairs as pr
 from headwise.operators import timetable as tt
 from headwise.plans import fixed, marts, report, scheduled
+from headwise.plans.ingest import ingest
 from headwise.schemas import STOP_TIME_UPDATES, VEHICLE_POSITIONS
 from headwise.session import configure, materialise, scratch_path
 from headwise.sources import captures, events, feeds, static, tables
+from headwise.sources.static import Names
 from headwise.streaming.ingest import ingest_feeds
 
 CONFIG = ScheduledConfig()
@@ -76,11 +79,11 @@ def static_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _land_captures(spark: SparkSession, sf_dir: str) -> list[captures.Capture]:
-    """Observations written as one folder per capture, and one capture without a table."""
+    """Observations written as one folder per capture, and three captures that can't be read."""
     root = scratch_path(spark, "captures")
+    observed = views.stop_time_updates(spark, sf_dir)
     (
-        views.stop_time_updates(spark, sf_dir)
-        .withColumns({"capture": F.col("source_db"), "table": F.lit(tables.STOP_UPDATES.name)})
+        observed.withColumns({"capture": F.col("source_db"), "table": F.lit(tables.STOP_UPDATES.name)})
         .drop("source_db")
         .hint("rebalance", "capture")
         .write.partitionBy("capture", "table")
@@ -91,9 +94,15 @@ def _land_captures(spark: SparkSession, sf_dir: str) -> list[captures.Capture]:
     for status in files.globStatus(path(f"{root}/capture=*")):
         folder = status.getPath()
         files.rename(path(folder, "table=stop_time_updates"), path(folder, "stop_time_updates"))
-        files.rename(folder, path(root, folder.getName().removeprefix("capture=")))
+        files.rename(folder, path(root, unquote(folder.getName().removeprefix("capture="))))
     files.mkdirs(path(f"{root}/capture_without_table"))
-    return captures.list_captures(spark, f"{root}/capture_*")
+    some = observed.drop("source_db").limit(5)
+    other = some.withColumn("arrival_time", F.col("arrival_time").cast("string")).drop("departure_time")
+    other.write.parquet(f"{root}/capture_of_other_types/stop_time_updates")
+    bad = f"{root}/capture_with_bad_file/stop_time_updates"
+    some.write.parquet(bad)
+    some.select("trip_id").coalesce(1).write.mode("append").text(bad)
+    return captures.list_captures(spark, f"{root}/c*")
 
 
 @_query
@@ -108,10 +117,14 @@ def capture_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted while the events of all captures are detected and written."""
     found = _land_captures(spark, sf_dir)
-    updates = captures.read_captures(spark, found)
-    directed = scheduled.directed_updates(updates, _index(spark, sf_dir).trips)
-    return captures.source_status(spark, found, pr.candidate_pairs(directed, CONFIG))
+    counts = captures.PairCounts(found)
+    detected = scheduled.detect_scheduled(
+        captures.read_captures(spark, found), _index(spark, sf_dir), CONFIG, counts.watch
+    )
+    materialise(detected, scratch_path(spark, "events"))
+    return counts.status(spark)
 
 
 @_query
@@ -126,12 +139,18 @@ def flatten_trip_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.flatten_trip_updates(feed).drop(*feeds.STOP_ORDINALS[1:])
 
 
-def _insert_twice(spark: SparkSession, table: tables.ObservationTable, *batches: DataFrame) -> DataFrame:
-    schema = "ingest_" + scratch_path(spark, "").rsplit("-", 1)[1]
-    tables.ensure_tables(spark, schema, scratch_path(spark, schema))
+def _schema(spark: SparkSession, prefix: str) -> str:
+    """A new schema with empty tables."""
+    name = f"{prefix}_" + scratch_path(spark, "").rsplit("-", 1)[1]
+    tables.ensure_tables(spark, name, scratch_path(spark, name))
+    return name
+
+
+def _insert_twice(spark: SparkSession, table: tables.ObservationTable, *batches: DataFrame) -> str:
+    schema = _schema(spark, "ingest")
     for number, batch in enumerate(batches):
         tables.insert_new(spark, schema, table, batch, f"batch-{number}")
-    return tables.read_observations(spark, f"{schema}.{table.name}")
+    return schema
 
 
 def _position_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -152,24 +171,51 @@ def _update_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 @_query
 def insert_new_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insert_twice(spark, tables.VEHICLES, *_position_batches(spark, sf_dir))
+    schema = _insert_twice(spark, tables.VEHICLES, *_position_batches(spark, sf_dir))
+    return tables.read_observations(spark, f"{schema}.{tables.VEHICLES.name}")
 
 
 @_query
 def insert_new_stop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insert_twice(spark, tables.STOP_UPDATES, *_update_batches(spark, sf_dir))
+    schema = _insert_twice(spark, tables.STOP_UPDATES, *_update_batches(spark, sf_dir))
+    return tables.read_observations(spark, f"{schema}.{tables.STOP_UPDATES.name}")
+
+
+@_query
+def compacted_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table after its dates have been compacted and its last batch has been replayed."""
+    batches = _update_batches(spark, sf_dir)
+    schema = _insert_twice(spark, tables.STOP_UPDATES, *batches)
+    name = f"{schema}.{tables.STOP_UPDATES.name}"
+    days = [row.key_date for row in spark.table(name).select("key_date").distinct().collect()]
+    tables.compact(spark, schema, tables.STOP_UPDATES, days)
+    tables.insert_new(spark, schema, tables.STOP_UPDATES, batches[1], "batch-1")
+    return tables.read_observations(spark, name)
+
+
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batch cycles over both feeds; the summary of the second."""
+    positions, updates = views.vehicle_positions(spark, sf_dir), views.stop_time_updates(spark, sf_dir)
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("entity_index"), "event_type")
+    early = positions.join(kinds.where("event_type != 'view'"), "entity_index", "left_semi")
+
+    def feed(vehicles: DataFrame, predictions: DataFrame) -> DataFrame:
+        nested = views.vehicle_feed(vehicles), views.trip_update_feed(predictions)
+        return nested[0].unionByName(nested[1], allowMissingColumns=True)
+
+    schema = _schema(spark, "cycle")
+    ingest(spark, feed(early, updates.where("arrival_delay > 0")), schema, "cycle-0")
+    return ingest(spark, feed(positions, updates), schema, "cycle-1")
+
+
+@_query
+def ingest_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cycles(spark, sf_dir)
 
 
 @_query
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {}
-    for table, (before, batch) in (
-        (tables.VEHICLES, _position_batches(spark, sf_dir)),
-        (tables.STOP_UPDATES, _update_batches(spark, sf_dir)),
-    ):
-        target = tables.first_per_key(before, table.key, table.order)
-        frames[table.name] = (batch, tables.new_rows(batch, target, table))
-    return tables.ingest_summary(frames)
+    return _cycles(spark, sf_dir).select("feed", "parsed_rows", "new_rows")
 
 
 @_query
@@ -190,17 +236,32 @@ def latest_stop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Snapshots of both feeds landed as JSON lines, then followed by two streams, twice."""
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
+    nested = {
+        tables.STOP_UPDATES.name: views.trip_update_feed(views.stop_time_updates(spark, sf_dir)),
+        tables.VEHICLES.name: views.vehicle_feed(views.vehicle_positions(spark, sf_dir)),
+    }
+    schema = _schema(spark, "stream")
+    early = F.pmod(F.unix_seconds("logged_at"), F.lit(86_400)) < 43_200
+    for half in (early, ~early):  # a vehicle's key lasts a day, so its first row is in an earlier batch
+        for name, feed in nested.items():
+            landed = feed.where(half).repartitionByRange(4, "logged_at").write.mode("append")
+            landed.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{landing}/{name}")
+        outcome = ingest_feeds(spark, {n: f"{landing}/{n}" for n in nested}, schema, checkpoint, files_per_batch=8)
+        assert all(o.error is None and o.batches and not o.rejected for o in outcome.values()), outcome
+    return schema
+
+
 @_query
 def stream_ingest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots landed as JSON lines, then followed by a stream until all are taken."""
-    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
-    feed = views.trip_update_feed(views.stop_time_updates(spark, sf_dir))
-    feed.hint("rebalance", "logged_at").write.json(landing)
-    schema = "stream_" + scratch_path(spark, "").rsplit("-", 1)[1]
-    tables.ensure_tables(spark, schema, scratch_path(spark, schema))
-    outcome = ingest_feeds(spark, {tables.STOP_UPDATES.name: landing}, schema, checkpoint)
-    assert outcome == {tables.STOP_UPDATES.name: None}
-    return tables.read_observations(spark, f"{schema}.{tables.STOP_UPDATES.name}")
+    return tables.read_observations(spark, f"{_streamed(spark, sf_dir)}.{tables.STOP_UPDATES.name}")
+
+
+@_query
+def stream_ingest_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_observations(spark, f"{_streamed(spark, sf_dir)}.{tables.VEHICLES.name}")
 
 
 # --- fixed threshold -----------------------------------------------------------------
@@ -240,27 +301,41 @@ def fixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixed_events(spark, sf_dir)
 
 
+@_query
+def fixed_events_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector without any published table."""
+    found = fixed.detect_fixed(views.stop_time_updates(spark, sf_dir))
+    return found.withColumn("date", F.col("date").cast("string"))
+
+
+@_query
+def fixed_route_totals_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed.fixed_tables(fixed_events_unnamed(spark, sf_dir))["route_totals"]
+
+
+def _fixed_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    named = Names(*[getattr(views, table)(spark, sf_dir) for table in ("routes", "stops", "trips")])
+    return fixed.fixed_tables(_fixed_events(spark, sf_dir), named)
+
+
 @_query
 def fixed_sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = fixed.sample_log(_fixed_events(spark, sf_dir))
-    return fixed.with_names(sample, views.routes(spark, sf_dir), views.stops(spark, sf_dir))
+    return _fixed_report(spark, sf_dir)["sample_log"]
 
 
 @_query
 def fixed_route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = fixed.route_totals(_fixed_events(spark, sf_dir))
-    return fixed.with_names(totals, views.routes(spark, sf_dir), None)
+    return _fixed_report(spark, sf_dir)["route_totals"]
 
 
 @_query
 def fixed_route_top_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = fixed.route_top_stops(_fixed_events(spark, sf_dir))
-    return fixed.with_names(top, views.routes(spark, sf_dir), views.stops(spark, sf_dir)).drop("route_name")
+    return _fixed_report(spark, sf_dir)["route_top_stops"].drop("route_name")
 
 
 @_query
 def fixed_route_top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed.route_top_patterns(_fixed_events(spark, sf_dir))
+    return _fixed_report(spark, sf_dir)["route_top_patterns"].drop("route_name")
 
 
 # --- timetable -----------------------------------------------------------------------
@@ -313,11 +388,11 @@ _indexes: dict[tuple[str, str], scheduled.TimetableIndex] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> scheduled.TimetableIndex:
-    """The timetable's lookups, written once per application."""
+    """The timetable's lookups, written once per application: the tables of a folder don't change in that time."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        lazy = scheduled.index_timetable(views.timetable(spark, sf_dir), CONFIG)
-        _indexes[key] = lazy.saved(scratch_path(spark, "index"))
+        index = scheduled.index_timetable(views.timetable(spark, sf_dir), CONFIG, scratch_path(spark, "index"))
+        _indexes[key] = index
     return _indexes[key]
 
 
@@ -399,7 +474,10 @@ _written: dict[tuple[str, str], DataFrame] = {}
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table, written once per application and read back by every table below."""
+    """The event table, written once per application and read back by every table below.
+
+    As with the index, a folder whose tables change while the application runs isn't noticed.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         found = scheduled.detect_scheduled(*_inputs(configure(spark), sf_dir), CONFIG)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.sources.static import Timetable
@@ -14,29 +14,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _stop(order: Column, part: Column) -> Column:
+    """Seven stops per route out of forty."""
+    return ((order % 25 * 3 + part % 7) % 40).cast("string")
+
+
 def stop_time_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four snapshots of every line; the last only in a second capture, the second in both."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    month = F.date_trunc("month", "l_shipdate")
+    copied = order % 25 % 3 == 0
+    place = lambda s, copy: F.struct(F.lit(s).alias("s"), F.lit(copy).alias("copy"))
+    main = F.array(*[place(s, False) for s in range(3)])
+    both = F.concat(main, F.array(place(1, True), place(3, True)))
     lines = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
+        order,
         "l_partkey",
-        "l_linenumber",
+        line,
         "l_quantity",
-        F.date_trunc("month", "l_shipdate").alias("month"),
-        F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("s"),
+        month.alias("month"),
+        F.explode(F.when(copied, both).otherwise(main)).alias("at"),
     )
-    start = F.unix_timestamp("month") + 28800
-    delay = (F.col("s") * (F.col("l_linenumber") % 3) * 20).cast("bigint")
+    s = F.col("at.s")
+    # The hour moves by seven from month to month; the 29th has the autumn clock change of two years.
+    hour = ((F.year("month") * 12 + F.month("month")) * 7 + 10) % 24
+    start = F.unix_timestamp("month") + 28 * 86400 + hour * 3600 + 1800
+    delay = (s * (line % 3) * 20).cast("bigint")
+    arrival = start + (F.col("l_quantity") * 60).cast("bigint") + delay
+    capture = F.concat(F.when(F.col("at.copy"), "copy+of%").otherwise("capture_"), F.year("month").cast("string"))
     return lines.select(
-        F.col("l_orderkey").cast("string").alias("trip_id"),
-        (F.col("l_orderkey") % 5).cast("string").alias("route_id"),
-        F.col("l_linenumber").cast("bigint").alias("stop_sequence"),
-        (F.col("l_partkey") % 20).cast("string").alias("stop_id"),
+        order.cast("string").alias("trip_id"),
+        F.when(order % 97 != 0, (order % 25).cast("string")).alias("route_id"),
+        F.when(order % 89 != 0, line.cast("bigint")).alias("stop_sequence"),
+        F.when(order % 83 != 0, _stop(order, F.col("l_partkey"))).alias("stop_id"),
         delay.alias("arrival_delay"),
-        (start + (F.col("l_quantity") * 60).cast("bigint") + delay).alias("arrival_time"),
+        F.when(order % 79 != 0, arrival).alias("arrival_time"),
         delay.alias("departure_delay"),
-        (start + (F.col("l_quantity") * 60).cast("bigint") + delay + 30).alias("departure_time"),
-        (start + F.col("s") * 20).alias("feed_timestamp"),
-        F.timestamp_seconds(start + F.col("s") * 20).alias("logged_at"),
-        F.concat(F.lit("capture_"), F.year("month").cast("string")).alias("source_db"),
+        (arrival + 30).alias("departure_time"),
+        (start + s * 20).alias("feed_timestamp"),
+        F.timestamp_seconds(start + s * 20).alias("logged_at"),
+        capture.alias("source_db"),
     )
 
 
@@ -45,7 +62,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     trip_id = F.when(key % 17 == 0, F.concat(F.lit("unlisted-"), key)).otherwise(key.cast("string"))
     return _table(spark, sf_dir, "orders").select(
-        (key % 5).cast("string").alias("route_id"),
+        (key % 25).cast("string").alias("route_id"),
         F.col("o_orderstatus").alias("service_id"),
         trip_id.alias("trip_id"),
         F.col("o_orderpriority").alias("trip_headsign"),
@@ -64,26 +81,26 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.col("l_orderkey").cast("string").alias("trip_id"),
         F.when(F.col("l_orderkey") % 29 == 0, "bad").otherwise(clock).alias("arrival_time"),
-        (F.col("part") % 20).cast("string").alias("stop_id"),
+        _stop(F.col("l_orderkey"), F.col("part")).alias("stop_id"),
         F.col("l_linenumber").cast("string").alias("stop_sequence"),
     )
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, name = F.col("r_regionkey"), F.col("r_name")
-    return _table(spark, sf_dir, "region").select(
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    return _table(spark, sf_dir, "nation").select(
         key.cast("string").alias("route_id"),
         F.when(key == 4, "").otherwise(name).alias("route_short_name"),
         F.concat(F.lit("Line "), name).alias("route_long_name"),
-        F.when(key.isin(1, 4), "").otherwise(F.concat(F.lit("Region "), name)).alias("route_desc"),
+        F.when(key.isin(1, 4), "").otherwise(F.concat(F.lit("Nation "), name)).alias("route_desc"),
     )
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts fall into twenty stops; the lowest part of a stop names and places it."""
+    """Parts fall into forty stops; the lowest part of a stop names and places it."""
     places = (
         _table(spark, sf_dir, "part")
-        .groupBy((F.col("p_partkey") % 20).alias("stop"))
+        .groupBy((F.col("p_partkey") % 40).alias("stop"))
         .agg(F.min("p_partkey").alias("part"), F.min_by("p_name", "p_partkey").alias("name"))
     )
     hundredths = F.col("part") / F.lit(100.0)

@@ -17,9 +17,35 @@ def clock_seconds(text: Column) -> Column:
     return F.when(F.size(parts) == 3, hours * 3600 + mins * 60 + secs)
 
 
+def _utc(epoch: Column) -> Column:
+    """Epoch seconds as a timestamp without a zone, so that no session setting has a say."""
+    start = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return start + F.make_dt_interval(secs=epoch.cast("decimal(18,6)"))
+
+
 def local_timestamp(epoch: Column, zone: str) -> Column:
-    """Wall-clock timestamp in `zone`; correct only under a UTC session time zone."""
-    return F.from_utc_timestamp(F.timestamp_seconds(epoch), zone)
+    """Wall-clock timestamp in `zone`, without a zone of its own."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _utc(epoch))
+
+
+def local_date(epoch: Column, zone: str) -> Column:
+    """`YYYY-MM-DD` in `zone`."""
+    return F.substring(local_timestamp(epoch, zone).cast("string"), 1, 10)
+
+
+def local_hour(epoch: Column, zone: str) -> Column:
+    """`HH:00` in `zone`."""
+    return F.concat(F.substring(local_timestamp(epoch, zone).cast("string"), 12, 2), F.lit(":00"))
+
+
+def utc_date(epoch: Column) -> Column:
+    """The date of epoch seconds in UTC."""
+    return F.date_from_unix_date(F.floor(epoch / 86_400).cast("int"))
+
+
+def utc_hour(epoch: Column) -> Column:
+    """`HH:00` of epoch seconds in UTC."""
+    return F.concat(F.lpad(F.floor(F.pmod(epoch, F.lit(86_400)) / 3600).cast("string"), 2, "0"), F.lit(":00"))
 
 
 @lru_cache(maxsize=None)
@@ -37,11 +63,10 @@ def _abbreviations(zone: str) -> dict[int, str]:
 def local_text(epoch: Column, zone: str) -> Column:
     """`YYYY-MM-DD HH:MM:SS ABC`, ABC being the zone's abbreviation at that instant."""
     local = local_timestamp(epoch, zone)
-    offset = F.unix_seconds(local) - epoch
     name = F.lit("")
     for seconds, abbreviation in sorted(_abbreviations(zone).items()):
-        name = F.when(offset == seconds, F.lit(f" {abbreviation}")).otherwise(name)
-    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), name)
+        name = F.when(local == _utc(epoch + seconds), F.lit(f" {abbreviation}")).otherwise(name)
+    return F.concat(F.substring(local.cast("string"), 1, 19), name)
 
 
 def hour_number(hour_text: Column) -> Column:

@@ -34,9 +34,6 @@ def with_previous(
 ) -> DataFrame:
     """Add `carry` = {new column: column of the previous row} by (`time`, *`order`).
 
-    Put a number or time that differs often first in `group`: Spark's sort compares the
-    first eight bytes of the first column before anything else.
-
     `time` is a non-null bigint in seconds. With `max_gap`, the new columns are exact
     wherever the previous row is at most `max_gap` seconds back; elsewhere they are
     NULL or name a row further back than that, so the caller must filter on the gap.

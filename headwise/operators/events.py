@@ -5,34 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.functions import blank_to_null, local_text, local_timestamp
+from headwise.functions import blank_to_null, local_date, local_hour, local_text
 from headwise.operators.ranking import one_per_key
 from headwise.schemas import EVENTS
 
 # One observation of one pair, whichever capture it was read from.
 OBSERVATION = [
-    "trailing_arrival_time",
-    "lead_arrival_time",
-    "trailing_trip_id",
+    "route_id",
+    "direction_id",
+    "stop_id",
     "lead_trip_id",
+    "trailing_trip_id",
     "logged_at",
     "feed_timestamp",
-    "stop_id",
-    "route_id",
-    "direction_id",
+    "lead_arrival_time",
+    "trailing_arrival_time",
 ]
 
 # One pair at one stop on one day. Labels follow from these and are joined later.
-# What differs most comes first, which is what sorts compare first.
-EVENT = ["trailing_trip_id", "lead_trip_id", "stop_id", "event_date", "route_id", "direction_id"]
+EVENT = ["event_date", "route_id", "direction_id", "stop_id", "lead_trip_id", "trailing_trip_id"]
 
 
 def localise(pairs: DataFrame, zone: str) -> DataFrame:
     """Date and hour of the trailing arrival in the agency's time zone."""
-    arrival = local_timestamp(F.col("trailing_arrival_time"), zone)
-    return pairs.withColumns(
-        {"event_date": F.date_format(arrival, "yyyy-MM-dd"), "event_hour": F.date_format(arrival, "HH:00")}
-    )
+    arrival = F.col("trailing_arrival_time")
+    return pairs.withColumns({"event_date": local_date(arrival, zone), "event_hour": local_hour(arrival, zone)})
 
 
 def with_local_text(pairs: DataFrame, zone: str) -> DataFrame:

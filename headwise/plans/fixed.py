@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwise.config import FixedConfig
-from headwise.functions import blank_to_null, label_or_id
+from headwise.functions import blank_to_null, label_or_id, utc_date, utc_hour
 from headwise.operators.pairs import observed_headways
 from headwise.operators.ranking import one_per_key, top_n, top_n_per
 from headwise.operators.updates import (
     counted_updates,
-    drop_observed_terminals,
     nonnull_updates,
-    trip_bounds,
+    observed_span,
+    within_span,
 )
+from headwise.sources.static import Names
 
 # Fixed values of the report.
 UNKNOWN_HEADSIGN = "Unknown Destination"
@@ -28,7 +29,7 @@ EVENT_KEY = ["date", "route_id", "stop_id", "prev_trip_id", "trip_id"]
 
 def observed_bounds(updates: DataFrame) -> DataFrame:
     """Bounds of every trip. Save them with `saved_lookup` before a large run."""
-    return trip_bounds(nonnull_updates(updates, "arrival_time", "trip_id"))
+    return observed_span(nonnull_updates(updates, "arrival_time", "trip_id"))
 
 
 def nonterminal_updates(updates: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def nonterminal_updates(updates: DataFrame, bounds: DataFrame | None = None) ->
     usable = nonnull_updates(updates, "arrival_time", "trip_id", "route_id", "stop_id", "logged_at")
     if bounds is None:
         bounds = observed_bounds(updates)
-    return drop_observed_terminals(counted_updates(usable), bounds)
+    return within_span(counted_updates(usable), bounds)
 
 
 def with_headsign(df: DataFrame, trips: DataFrame | None) -> DataFrame:
@@ -51,10 +52,9 @@ def with_headsign(df: DataFrame, trips: DataFrame | None) -> DataFrame:
 
 
 def with_capture_time(df: DataFrame) -> DataFrame:
-    """Date and hour of the capture."""
-    return df.withColumns(
-        {"date": F.to_date("logged_at"), "hour_str": F.date_format("logged_at", "HH:00")}
-    )
+    """Date and hour of the capture, in UTC whatever the session's zone."""
+    seconds = F.unix_seconds("logged_at")
+    return df.withColumns({"date": utc_date(seconds), "hour_str": utc_hour(seconds)})
 
 
 def bunched_observations(
@@ -77,7 +77,7 @@ def detect_fixed(
     """
     events = (
         bunched_observations(updates, config, bounds)
-        .groupBy(F.to_date("logged_at").alias("date"), *EVENT_KEY[1:])
+        .groupBy(utc_date(F.unix_seconds("logged_at")).alias("date"), *EVENT_KEY[1:])
         .agg(F.min("logged_at").alias("logged_at"), F.min("headway_seconds").alias("headway_seconds"))
     )
     return with_headsign(with_capture_time(events), trips).select(
@@ -119,3 +119,17 @@ def route_top_stops(events: DataFrame, n: int = TOP_STOPS) -> DataFrame:
 def route_top_patterns(events: DataFrame, n: int = TOP_PATTERNS) -> DataFrame:
     counts = events.groupBy("route_id", "headsign", "hour_str").agg(F.count("*").alias("events"))
     return top_n_per(counts, "route_id", n, F.desc("events"), "headsign", "hour_str")
+
+
+def fixed_tables(events: DataFrame, names: Names = Names()) -> dict[str, DataFrame]:
+    """The report over fixed-threshold events, by table name.
+
+    `events` comes from `detect_fixed`; write it first, each table reads it. Without
+    names, ids and default text stand in.
+    """
+    return {
+        "sample_log": with_names(sample_log(events), names.routes, names.stops),
+        "route_totals": with_names(route_totals(events), names.routes, None),
+        "route_top_stops": with_names(route_top_stops(events), names.routes, names.stops),
+        "route_top_patterns": with_names(route_top_patterns(events), names.routes, None),
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from headwise.operators.timetable import (
     trip_dimension,
 )
 from headwise.operators.updates import distinct_updates, nonnull_updates, with_direction
-from headwise.session import BROADCAST_ROWS, saved_lookup
+from headwise.session import materialise, saved_lookup
 from headwise.sources.static import Timetable
 
 # The order of the event table when it is written.
@@ -55,40 +56,43 @@ class TimetableIndex:
     """What detection looks up in a timetable, one row per key in every frame."""
 
     zone: str
+    max_scheduled_headway_minutes: float
     trips: DataFrame
     facts: DataFrame
     fallbacks: DataFrame
     labels: DataFrame
     places: DataFrame
 
-    def saved(self, folder: str, broadcast_rows: int = BROADCAST_ROWS) -> TimetableIndex:
+    def saved(self, folder: str) -> TimetableIndex:
         """Write the lookups once and use the files from then on.
 
         A timetable serves months of observations; written, its lookups are not derived
-        again by every run.
+        again by every run, and Spark knows their sizes when it plans a join.
         """
-        names = [f.name for f in fields(self) if f.name != "zone"]
+        names = [f.name for f in fields(self) if f.name not in ("zone", "max_scheduled_headway_minutes")]
         return replace(
-            self,
-            **{
-                name: saved_lookup(getattr(self, name), f"{folder.rstrip('/')}/{name}", broadcast_rows)
-                for name in names
-            },
+            self, **{name: saved_lookup(getattr(self, name), f"{folder.rstrip('/')}/{name}") for name in names}
         )
 
 
-def index_timetable(timetable: Timetable, config: ScheduledConfig = ScheduledConfig()) -> TimetableIndex:
-    """The lookups as lazy frames."""
+def index_timetable(
+    timetable: Timetable, config: ScheduledConfig = ScheduledConfig(), folder: str | None = None
+) -> TimetableIndex:
+    """The lookups: as lazy frames, or written to `folder`, the stop times being read only once."""
     timed = parse_stop_times(timetable.stop_times)
+    if folder:
+        timed = materialise(timed, f"{folder.rstrip('/')}/stop_times")
     gaps = scheduled_gaps(timed, timetable.trips, config.max_scheduled_headway_seconds)
-    return TimetableIndex(
+    index = TimetableIndex(
         zone=timetable.zone,
+        max_scheduled_headway_minutes=config.max_scheduled_headway_minutes,
         trips=trip_dimension(timetable.trips),
         facts=stop_facts(timed),
         fallbacks=fallback_headways(gaps),
         labels=route_labels(timetable.routes),
         places=stop_places(timetable.stops),
     )
+    return index.saved(folder) if folder else index
 
 
 def directed_updates(updates: DataFrame, trips: DataFrame) -> DataFrame:
@@ -97,15 +101,28 @@ def directed_updates(updates: DataFrame, trips: DataFrame) -> DataFrame:
     return with_direction(distinct_updates(usable), trips)
 
 
-def timed_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
+Watch = Callable[[DataFrame], DataFrame]
+
+
+def timed_pairs(
+    updates: DataFrame, index: TimetableIndex, config: ScheduledConfig, watch: Watch | None = None
+) -> DataFrame:
     """Candidate pairs that carry both vehicles' scheduled arrival and terminal flag."""
     directed = directed_updates(updates, index.trips).drop("trip_headsign")
-    return candidate_pairs(with_stop_facts(directed, index.facts), config, STOP_FACTS)
+    pairs = candidate_pairs(with_stop_facts(directed, index.facts), config, STOP_FACTS)
+    return watch(pairs) if watch else pairs
 
 
-def resolved_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
+def resolved_pairs(
+    updates: DataFrame, index: TimetableIndex, config: ScheduledConfig, watch: Watch | None = None
+) -> DataFrame:
     """Candidate pairs away from terminals, with the headway they are held against."""
-    pairs = timed_pairs(updates, index, config)
+    if index.max_scheduled_headway_minutes != config.max_scheduled_headway_minutes:
+        raise ValueError(
+            f"the index keeps scheduled headways up to {index.max_scheduled_headway_minutes} minutes, "
+            f"the configuration asks for {config.max_scheduled_headway_minutes}"
+        )
+    pairs = timed_pairs(updates, index, config, watch)
     if config.include_terminals:
         pairs = pairs.drop("lead_is_terminal", "trailing_is_terminal")
     else:
@@ -113,21 +130,25 @@ def resolved_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledC
     return resolve_headway(pair_headway(pairs, config), index.fallbacks, config)
 
 
-def bunched_pairs(updates: DataFrame, index: TimetableIndex, config: ScheduledConfig) -> DataFrame:
-    return keep_bunched(resolved_pairs(updates, index, config), config)
+def bunched_pairs(
+    updates: DataFrame, index: TimetableIndex, config: ScheduledConfig, watch: Watch | None = None
+) -> DataFrame:
+    return keep_bunched(resolved_pairs(updates, index, config, watch), config)
 
 
 def detect_scheduled(
     updates: DataFrame,
     timetable: Timetable | TimetableIndex,
     config: ScheduledConfig = ScheduledConfig(),
+    watch: Watch | None = None,
 ) -> DataFrame:
     """The event table. Observations are shuffled twice, bunched pairs once.
 
-    Give a saved `TimetableIndex` for anything large; it must have been made with the
-    same `max_scheduled_headway_minutes`.
+    Give a saved `TimetableIndex` for anything large; one made with another
+    `max_scheduled_headway_minutes` is refused. `watch` sees the candidate pairs as they
+    pass (`captures.PairCounts`).
     """
     index = timetable if isinstance(timetable, TimetableIndex) else index_timetable(timetable, config)
-    pairs = co_locate_events(localise(bunched_pairs(updates, index, config), index.zone))
+    pairs = co_locate_events(localise(bunched_pairs(updates, index, config, watch), index.zone))
     events = collapse_observations(dedupe_observations(pairs), index.zone)
     return event_table(with_headsigns(with_labels(events, index.labels, index.places), index.trips))

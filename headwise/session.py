@@ -5,12 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Most rows a saved lookup may have to be sent whole to every executor (about 100 bytes
-# each). A larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings that results depend on. Sizing stays with the cluster."""
@@ -41,11 +35,10 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def saved_lookup(df: DataFrame, path: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A lookup written once, and broadcast from then on if its row count allows.
+def saved_lookup(df: DataFrame, path: str) -> DataFrame:
+    """A lookup written once.
 
-    The count is read from file footers. Knowing it before a join is planned keeps the
-    large side from being shuffled to meet a lookup that turns out to be small.
+    Written Parquet carries its size in bytes, so Spark knows what a join with it would
+    broadcast, and does so up to `spark.sql.autoBroadcastJoinThreshold`.
     """
-    written = materialise(df, path)
-    return F.broadcast(written) if written.count() <= broadcast_rows else written
+    return materialise(df, path)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Columns read from each file: fixed values.
 COLUMNS = {
@@ -56,21 +58,47 @@ class Timetable:
     stop_times: DataFrame
 
 
-def require_columns(df: DataFrame, name: str, columns: Iterable[str]) -> DataFrame:
-    """The frame itself, or an error that names what is missing."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"{name} is missing required columns: {', '.join(missing)}")
-    return df
+# Types that may stand for a declared one, since Spark's readers widen them.
+_NARROWER = {"bigint": {"int", "smallint", "tinyint"}, "double": {"float"}, "timestamp": {"timestamp_ntz"}}
+
+
+def schema_problems(found: T.StructType, wanted: T.StructType | Iterable[str]) -> list[str]:
+    """All that keeps a table with schema `found` from being read as `wanted`.
+
+    `wanted` is a schema, or names alone where any type will do. No problems, empty list.
+    """
+    types = {f.name: f.dataType.simpleString() for f in found}
+    declared = {f.name: f.dataType.simpleString() for f in wanted} if isinstance(wanted, T.StructType) else dict.fromkeys(wanted)
+    problems = []
+    for name, kind in declared.items():
+        have = types.get(name)
+        if have is None:
+            problems.append(f"no column {name}")
+        elif kind and have != kind and have not in _NARROWER.get(kind, ()):
+            problems.append(f"{name} is {have}, not {kind}")
+    return problems
+
+
+def checked(frame: DataFrame, label: str, wanted: T.StructType | Iterable[str]) -> DataFrame:
+    """The frame, unless it has problems; then one error with all of them."""
+    if problems := schema_problems(frame.schema, wanted):
+        raise ValueError(f"{label}: {'; '.join(problems)}")
+    return frame
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One timetable file, wanted columns only, every cell text or NULL."""
+    return _cells(_header(spark, folder, table), table, COLUMNS[table])
+
+
+def _header(spark: SparkSession, folder: str, table: str) -> DataFrame:
     raw = spark.read.option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{table}.txt")
-    raw = raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
-    wanted = require_columns(raw, f"{table}.txt", COLUMNS[table])
-    cells = [F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) for c in COLUMNS[table]]
-    frame = wanted.select(*cells)
+    return raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
+
+
+def _cells(raw: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    wanted = checked(raw, f"{table}.txt", columns)
+    frame = wanted.select(*[F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) for c in columns])
     return frame.na.fill("") if table in FILLED else frame
 
 
@@ -92,3 +120,36 @@ def read_static(spark: SparkSession, folder: str) -> Timetable:
         zone=agency_timezone(read_table(spark, folder, "agency")),
         **{t: read_table(spark, folder, t) for t in ("routes", "stops", "trips", "stop_times")},
     )
+
+
+# What the fixed-threshold report names things by: fixed values.
+NAMES = {
+    "routes": ["route_id", "route_short_name"],
+    "stops": ["stop_id", "stop_name"],
+    "trips": ["trip_id", "trip_headsign"],
+}
+
+
+@dataclass(frozen=True)
+class Names:
+    """Names for the fixed-threshold report, and why a table of them is not there."""
+
+    routes: DataFrame | None = None
+    stops: DataFrame | None = None
+    trips: DataFrame | None = None
+    problems: dict[str, str] = field(default_factory=dict)
+
+
+def read_names(spark: SparkSession, folder: str) -> Names:
+    """Whichever of the three tables can be read, two columns of each.
+
+    A table that is missing, unreadable or without its columns is None and named in
+    `problems`; the report then falls back to ids and default text.
+    """
+    frames, problems = {}, {}
+    for table, columns in NAMES.items():
+        try:
+            frames[table] = _cells(_header(spark, folder, table), table, columns)
+        except (AnalysisException, ValueError) as error:
+            problems[table] = str(error).strip().splitlines()[0]
+    return Names(**frames, problems=problems)

@@ -1,6 +1,8 @@
 import json
+import os
+import time
 import uuid
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from headwise.plans.ingest import ingest
 from headwise.schemas import FEED_ENTITY, FEED_MESSAGE
 from headwise.sources import feeds, tables
-from headwise.streaming.ingest import ingest_feeds
+from headwise.streaming.ingest import ingest_feeds, stream_ingest
 from tests.micro import T0, rows
 
 
@@ -129,13 +131,61 @@ def test_a_replayed_batch_rewrites_itself(spark, schema, scratch):
     assert stored(spark, schema) == before
 
 
-def test_keys_on_many_dates_are_checked_unpruned(spark, schema, scratch, monkeypatch):
-    monkeypatch.setattr(tables, "_PRUNED_DATES", 1)
+def test_keys_on_many_dates(spark, schema, scratch):
     frame = feed(spark, *snapshot(*[trip(stamp=T0 + 86_400 * day) for day in range(4)]), scratch=scratch)
     assert insert(spark, schema, frame, "1")["new"] == 4
     assert insert(spark, schema, frame, "2")["new"] == 0
 
 
+def test_an_id_used_for_other_rows_is_refused(spark, schema, scratch):
+    insert(spark, schema, feed(spark, *snapshot(trip()), scratch=scratch), "1")
+    with pytest.raises(ValueError, match="other rows"):
+        insert(spark, schema, feed(spark, *snapshot(trip("u")), scratch=scratch), "1")
+
+
+def test_the_session_zone_does_not_move_a_key(spark, schema, scratch):
+    frame = feed(spark, *snapshot(trip(stamp=T0)), scratch=scratch)
+    try:
+        for batch, zone in (("1", "UTC"), ("2", "America/Los_Angeles"), ("3", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert insert(spark, schema, frame, batch)["new"] == (batch == "1")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_compaction_leaves_one_partition_a_date_and_replays_add_nothing(spark, schema, scratch, monkeypatch):
+    days = [date(1970, 1, 1) + timedelta(days=T0 // 86_400 + d) for d in range(2)]
+    frames = [
+        feed(spark, *snapshot(trip(str(n), (("A", 1), ("", 2)), T0), trip(str(n), stamp=T0 + 86_400), logged=n), scratch=scratch)
+        for n in range(3)
+    ]
+    name = f"{schema}.stop_time_updates"
+    partitions = lambda: [r[0].split("/")[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    for number, frame in enumerate(frames):
+        insert(spark, schema, frame, str(number))
+    before = stored(spark, schema)
+    assert len(partitions()) == 6
+    # A crash between writing and dropping: rows are in both until the next run finishes.
+    sql = spark.sql
+    with monkeypatch.context() as crash:
+        crash.setattr(type(spark), "sql", lambda self, text, *a: 1 / 0 if text.startswith("ALTER") else sql(text, *a))
+        with pytest.raises(ZeroDivisionError):
+            tables.compact(spark, schema, tables.STOP_UPDATES, days)
+    assert len(stored(spark, schema)) == 2 * len(before)
+    assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 6
+    assert sorted(partitions()) == sorted(f"key_date={d}" for d in days)
+    assert stored(spark, schema) == before
+    for number, frame in enumerate(frames):
+        assert insert(spark, schema, frame, str(number))["new"] == 0
+    assert stored(spark, schema) == before
+    assert insert(spark, schema, feed(spark, *snapshot(trip("late")), scratch=scratch), "late")["new"] == 1
+    assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 2
+    assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 0
+    assert len(stored(spark, schema)) == len(before) + 1
+    with pytest.raises(ValueError, match="other rows"):
+        insert(spark, schema, feed(spark, *snapshot(trip("other")), scratch=scratch), "1")
+
+
 def test_batch_cycle_reports_both_feeds(spark, schema, scratch):
     frame = feed(spark, *snapshot(vehicle(), vehicle(), trip()), scratch=scratch)
     assert rows(ingest(spark, frame, schema, "1"), "feed", "parsed_rows", "unique_rows", "new_rows", "error") == [
@@ -145,7 +195,9 @@ def test_batch_cycle_reports_both_feeds(spark, schema, scratch):
 
 def land(folder, number, records):
     folder.mkdir(parents=True, exist_ok=True)
-    (folder / f"{number:03d}.json").write_text("\n".join(json.dumps(r) for r in records) + "\n")
+    path = folder / f"{number:03d}.json"
+    path.write_text("\n".join(json.dumps(r) for r in records) + "\n")
+    os.utime(path, (T0 + number, T0 + number))  # a stream takes the oldest files first
 
 
 def test_stream_equals_batch_and_restarts_cleanly(spark, schema, tmp_path):
@@ -159,7 +211,9 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, schema, tmp_path):
     run = lambda: ingest_feeds(
         spark, {"stop_time_updates": str(landing), "vehicle_positions": str(landing)}, schema, str(tmp_path / "ck"), files_per_batch=1
     )
-    assert run() == {"stop_time_updates": None, "vehicle_positions": None}
+    assert {n: (o.error, o.batches) for n, o in run().items()} == {
+        "stop_time_updates": (None, 3), "vehicle_positions": (None, 3),
+    }
     land(landing, 3, shots[3])
     run()
     run()
@@ -179,12 +233,49 @@ def test_one_failing_feed_does_not_stop_the_other(spark, schema, tmp_path):
     outcome = ingest_feeds(
         spark, {"vehicle_positions": str(tmp_path / "missing"), "stop_time_updates": str(tmp_path / "good")}, schema, str(tmp_path / "ck")
     )
-    assert outcome["stop_time_updates"] is None and outcome["vehicle_positions"] is not None
+    assert outcome["stop_time_updates"].error is None and outcome["vehicle_positions"].error is not None
     assert len(stored(spark, schema)) == 1
     with pytest.raises(RuntimeError):
         ingest_feeds(spark, {"vehicle_positions": str(tmp_path / "missing")}, schema, str(tmp_path / "ck2"))
 
 
+def test_lines_that_cannot_be_parsed_are_counted(spark, schema, tmp_path):
+    good = json.dumps(snapshot(trip())[0])
+    (tmp_path / "in").mkdir()
+    wrong = good.replace('"timestamp": ' + str(T0), '"timestamp": "soon"')
+    (tmp_path / "in" / "a.json").write_text("\n".join([good, good[:40], wrong]) + "\n")
+    outcome = ingest_feeds(spark, {"stop_time_updates": str(tmp_path / "in")}, schema, str(tmp_path / "ck"))
+    found = outcome["stop_time_updates"]
+    assert (found.error, found.rejected, found.parsed, found.new) == (None, 2, 1, 1)
+    assert len(stored(spark, schema)) == 1
+
+
+def test_a_failure_is_reported_while_the_other_feed_runs_on(spark, schema, tmp_path):
+    """In continuous mode, and with another schema's feeds in the same session."""
+    other = "o_" + uuid.uuid4().hex
+    tables.ensure_tables(spark, other, f"{tmp_path}/{other}")
+    for name in ("good", "bad", "more"):
+        land(tmp_path / name, 0, snapshot(trip(), vehicle()))
+    beside = stream_ingest(spark, str(tmp_path / "more"), other, tables.VEHICLES, str(tmp_path / "ck-o"), continuous_seconds=1)
+    told = {}
+
+    def failure(name, cause):
+        told[name] = {query.name for query in spark.streams.active}
+        deadline = time.time() + 60
+        while not stored(spark, schema) and time.time() < deadline:
+            time.sleep(0.5)
+        for query in spark.streams.active:
+            query.stop()
+
+    spark.sql(f"DROP TABLE {schema}.vehicle_positions")
+    landing = {"stop_time_updates": str(tmp_path / "good"), "vehicle_positions": str(tmp_path / "bad")}
+    outcome = ingest_feeds(spark, landing, schema, str(tmp_path / "ck"), on_failure=failure, continuous_seconds=1)
+    assert told == {"vehicle_positions": {f"ingest_{schema}_stop_time_updates", f"ingest_{other}_vehicle_positions"}}
+    assert outcome["vehicle_positions"].error and not outcome["stop_time_updates"].error
+    assert len(stored(spark, schema)) == 1
+    beside.awaitTermination()
+
+
 def test_latest_rows(spark):
     frame = spark.range(10).select("id", (F.col("id") % 3).alias("logged_at"))
     assert [tuple(r) for r in tables.latest_rows(frame, ["id"], ["logged_at", "id"]).collect()] == [(8,), (5,)]

@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as registry
+import __spark_entry__ as entry
+from checks import oracle, queries
 from checks.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -14,13 +15,13 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, connection, name):
-    assert difference(registry.queries()[name](spark, SF), connection, registry.oracle_sql()[name]) is None
+    assert difference(queries.queries()[name](spark, SF), connection, oracle.oracle_sql()[name]) is None
 
 
 def test_entry(spark):
-    assert registry.entry(spark).count() > 0
+    assert entry.entry(spark).count() > 0

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from headwise.config import ScheduledConfig
@@ -238,7 +239,7 @@ def test_row_order_partitions_and_saved_lookups_do_not_matter(spark, scratch):
     for frame, lookups in (
         (base.orderBy(F.rand(5)).repartition(9), index),
         (base.coalesce(1), index.saved(f"{scratch}/small")),
-        (base, index.saved(f"{scratch}/large", broadcast_rows=0)),
+        (base, index_timetable(table, CONFIG, f"{scratch}/large")),
     ):
         assert sorted(map(tuple, detect_scheduled(frame, lookups).collect())) == expected
 
@@ -246,3 +247,9 @@ def test_row_order_partitions_and_saved_lookups_do_not_matter(spark, scratch):
 def test_direction_keeps_unlisted_trips(spark):
     directed = directed_updates(updates(spark, [("x", 1, "A", 0), ("u", 1, "A", 0)]), index_timetable(plain(spark)).trips)
     assert rows(directed, "trip_id", "direction_id", "trip_headsign") == [("u", "unknown", ""), ("x", "0", "to x")]
+
+
+def test_an_index_for_other_headways_is_refused(spark):
+    index = index_timetable(plain(spark), ScheduledConfig(max_scheduled_headway_minutes=60))
+    with pytest.raises(ValueError, match="60"):
+        detect_scheduled(updates(spark, [("x", 1, "A", 0)]), index, ScheduledConfig())

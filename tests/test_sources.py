@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headwise.plans import fixed
 from headwise.plans.scheduled import EVENT_ORDER
 from headwise.schemas import EVENT_MINUTES, EVENTS, STOP_TIME_UPDATES
 from headwise.sources import captures, events, static
@@ -34,7 +35,7 @@ def test_static_cells_are_text_and_missing_values_follow_the_table(spark, folder
 
 def test_missing_columns_are_named(spark, folder):
     (folder / "trips.txt").write_text("trip_id,route_id,direction_id\nt,1,0\n")
-    with pytest.raises(ValueError, match="trips.txt is missing required columns: service_id, trip_headsign"):
+    with pytest.raises(ValueError, match="trips.txt: no column service_id; no column trip_headsign"):
         static.read_static(spark, str(folder))
 
 
@@ -64,14 +65,43 @@ def test_captures_are_read_together_and_bad_ones_are_reported(spark, capture_roo
     data = captures.read_captures(spark, found)
     assert rows(data, "source_db", "trip_id") == [("day 1.db", "x"), ("day 1.db", "y"), ("day 2.db", "z")]
     assert set(data.columns) == {*STOP_TIME_UPDATES.fieldNames(), "source_db"}
-    pairs = data.where("trip_id = 'y'")
-    status = dict(captures.source_status(spark, found, pairs).collect())
+    counts = captures.PairCounts(found)
+    assert counts.watch(data.where("trip_id = 'y'")).count() == 1
+    status = dict(counts.status(spark).collect())
     assert status["day 1.db"] == "ok: 1 candidate pairs"
     assert status["day 2.db"] == "ok: no candidate pairs"
     assert status["day 3.db"] == "skipped: no stop_time_updates table"
-    assert status["day 4.db"].startswith("error: ")
-    assert status["day 5.db"].startswith("error: day 5.db/stop_time_updates is missing required columns: trip_id")
+    assert status["day 4.db"] == captures.UNREADABLE
+    assert status["day 5.db"].startswith("error: no column trip_id; no column route_id")
+
+
+def test_one_bad_file_or_type_costs_its_capture_only(spark, tmp_path):
+    names = ["a+b", "50%", "plain", "bad second file", "text times"]
+    for name in names:
+        data = updates(spark, [("x", 1, "A", 0)]).drop("source_db").coalesce(1)
+        if name == "text times":
+            data = data.withColumn("arrival_time", F.col("arrival_time").cast("string"))
+        data.write.parquet(str(tmp_path / name / "stop_time_updates"))
+    (tmp_path / "bad second file" / "stop_time_updates" / "zz.parquet").write_bytes(b"not parquet")
+    found = captures.list_captures(spark, f"{tmp_path}/*")
+    assert {c.name: c.problem for c in found} == {
+        "a+b": None, "50%": None, "plain": None, "bad second file": captures.UNREADABLE,
+        "text times": "error: arrival_time is string, not bigint",
+    }
+    assert rows(captures.read_captures(spark, found), "source_db") == [("50%",), ("a+b",), ("plain",)]
+
 
+def test_names_that_cannot_be_read_are_left_out(spark, folder):
+    (folder / "trips.txt").unlink()
+    (folder / "stops.txt").write_text("stop_id,zone\nA,z\n")
+    names = static.read_names(spark, str(folder))
+    assert names.trips is None and names.stops is None and set(names.problems) == {"trips", "stops"}
+    assert rows(names.routes, "route_id", "route_short_name") == [("1", ""), ("2", "Two")]
+    found = fixed.detect_fixed(updates(spark, [(t, n, "B", n) for t in "xy" for n in (1, 2, 3)]), names.trips)
+    report = fixed.fixed_tables(found, names)
+    assert set(report) == {"sample_log", "route_totals", "route_top_stops", "route_top_patterns"}
+    assert {r.route_name for r in report["route_totals"].collect()} == {"ID-R"}
+    assert {r.headsign for r in report["route_top_patterns"].collect()} == {"Unknown Destination"}
 
 def test_no_capture_at_all(spark, tmp_path):
     assert captures.list_captures(spark, f"{tmp_path}/*.db") == []
@@ -110,5 +140,5 @@ def test_events_survive_a_round_trip(spark, event_frame, scratch, format):
 
 def test_event_files_without_chart_columns_are_refused(spark, event_frame, scratch):
     event_frame.drop("stop_lat", "event_hour").write.option("header", True).csv(f"{scratch}/e")
-    with pytest.raises(ValueError, match="event_hour, stop_lat"):
+    with pytest.raises(ValueError, match="no column event_hour; no column stop_lat"):
         events.read_events(spark, f"{scratch}/e")
