@@ -1,5 +1,7 @@
 """Results don't depend on the session's time zone, nor scratch data on one machine's folder."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from checks import views
@@ -39,11 +41,8 @@ def test_detection_is_the_same_in_every_session_zone(spark, inputs):
     assert all(results[0]) and results[0] == results[1] == results[2]
 
 
-def test_scratch_data_go_where_all_executors_see_them(spark):
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/shared/here/")
-        assert shared_folder(spark) == "/shared/here"
-        spark.conf.set("spark.checkpoint.dir", "")
-        assert shared_folder(spark).startswith(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_data_go_where_all_executors_see_them():
+    settings = {"spark.sql.warehouse.dir": "hdfs://shared/warehouse/"}
+    assert shared_folder(SimpleNamespace(conf=settings)) == "hdfs://shared/warehouse/_scratch"
+    settings["spark.checkpoint.dir"] = "hdfs://shared/here/"
+    assert shared_folder(SimpleNamespace(conf=settings)) == "hdfs://shared/here"
