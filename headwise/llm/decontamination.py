@@ -297,6 +297,8 @@ def _verified(words: np.ndarray, item: np.ndarray, answer: np.ndarray, spans: li
     """The best matching stretch of a document around candidate windows, if it passes.
 
     Stretches hold half as many words again as the item, so that additions don't hide a match.
+    A common subsequence has no more words than the two have in common, counting repeats, so
+    stretches are tried by that number, until none can be better or pass.
     """
     size = len(item)
     reach = size if size < SHORT else size * 3 // 2
@@ -304,15 +306,33 @@ def _verified(words: np.ndarray, item: np.ndarray, answer: np.ndarray, spans: li
     starts: set[int] = set()
     for a, b, _ in spans:
         starts.update(range(max(low, a - size), max(low, min(b, high - 1)) + 1, step))
-    best = (0.0, 0.0, 0, 0)
-    for a in sorted(starts):
-        part = words[a : min(a + reach, high)]
-        coverage = common_subsequence(item, part) / size
-        if coverage > best[0]:
-            best = (coverage, common_subsequence(answer, part) / len(answer), a, a + len(part))
-    coverage, answered, a, b = best
-    good = coverage == 1.0 if size < SHORT else coverage >= COPY or (coverage >= PARAPHRASE and answered >= ANSWER)
-    return best if good else None
+    first = np.array(sorted(starts))
+    last = np.minimum(first + reach, high)
+    different, repeats = np.unique(item, return_counts=True)
+    around = words[first[0] : last[-1]]
+    place = np.minimum(np.searchsorted(different, around), len(different) - 1)
+    known = different[place] == around
+    shared = np.concatenate([[0], np.cumsum(known)])
+    most = shared[last - first[0]] - shared[first - first[0]]
+    needed = size if size < SHORT else PARAPHRASE * size
+    for at in np.flatnonzero(most >= needed).tolist():
+        stretch = slice(first[at] - first[0], last[at] - first[0])
+        counts = np.bincount(place[stretch][known[stretch]], minlength=len(different))
+        most[at] = np.minimum(counts, repeats).sum()
+    best = (0, 0, 0)
+    for at in np.argsort(-most, kind="stable").tolist():
+        if most[at] <= best[0] or most[at] < needed:
+            break
+        a, b = int(first[at]), int(last[at])
+        length = common_subsequence(item, words[a:b])
+        if length > best[0]:
+            best = (length, a, b)
+    length, a, b = best
+    if length < needed:
+        return None
+    coverage, answered = length / size, common_subsequence(answer, words[a:b]) / len(answer)
+    good = size < SHORT or coverage >= COPY or answered >= ANSWER
+    return (coverage, answered, a, b) if good else None
 
 
 def leaks_in(block: Block, idf: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
