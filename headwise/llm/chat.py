@@ -13,6 +13,7 @@ down: from the transcript to its blocks, and from a block to its utterances.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,9 +161,25 @@ def train(
 # --- Viterbi in blocks -----------------------------------------------------------------
 
 
-def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Best scores over two stretches: max over the role in between."""
-    return (left[:, :, None] + right[None, :, :]).max(axis=1)
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in frames of whole groups, with where each group starts; NULL keys are equal."""
+    rest = None
+    for frame in frames:
+        rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        starts = _starts(rest, keys)
+        if len(starts) > 1:
+            yield rest.iloc[: starts[-1]], starts[:-1]
+            rest = rest.iloc[starts[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, _starts(rest, keys)
+
+
+def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    same = np.ones(max(len(frame) - 1, 0), bool)
+    for key in keys:
+        left, right = frame[key].iloc[:-1].reset_index(drop=True), frame[key].iloc[1:].reset_index(drop=True)
+        same &= ((left == right) | (left.isna() & right.isna())).to_numpy(bool)
+    return np.flatnonzero(np.concatenate([[True], ~same])) if len(frame) else np.zeros(0, int)
 
 
 def _steps(model: RoleModel, frame: pd.DataFrame) -> np.ndarray:
@@ -170,81 +187,81 @@ def _steps(model: RoleModel, frame: pd.DataFrame) -> np.ndarray:
 
     The utterance that opens a transcript has the same row for every role before it.
     """
-    emission = model.emission(frame)
     steps = np.repeat(model.step[None], len(frame), axis=0)
     steps[frame["place"].to_numpy() == "first"] = model.first[None, :]
-    return steps + emission[:, None, :]
+    return steps + model.emission(frame)[:, None, :]
 
 
-def _folded(matrices: np.ndarray) -> np.ndarray:
-    total = matrices[0]
-    for matrix in matrices[1:]:
-        total = _product(total, matrix)
-    return total
+def _lanes(starts: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the second, third ... row of all groups at once: which groups have one, and the rows."""
+    lengths = np.diff(np.append(starts, count))
+    for nth in range(1, int(lengths.max(initial=0))):
+        active = np.flatnonzero(lengths > nth)
+        yield active, starts[active] + nth
 
 
-def _path(matrices: np.ndarray, before: int, after: int) -> list[int]:
-    """Roles at the end of each stretch on the best path from `before` to `after`."""
-    scores, back = matrices[0][before], []
-    for matrix in matrices[1:]:
-        through = scores[:, None] + matrix
-        back.append(through.argmax(axis=0))
-        scores = through.max(axis=0)
-    path = [after]
-    for pointers in reversed(back):
-        path.append(int(pointers[path[-1]]))
-    return path[::-1]
+def folded(matrices: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Best scores over each group: the max-plus product of its matrices."""
+    total = matrices[starts].copy()
+    for active, rows in _lanes(starts, len(matrices)):
+        total[active] = (total[active][:, :, :, None] + matrices[rows][:, None, :, :]).max(axis=2)
+    return total
 
 
-def _reduced(model: RoleModel):
-    """One row per block of utterances: key, block and the block's matrix."""
+def paths(matrices: np.ndarray, starts: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Role at the end of each row on its group's best path from role `before` to role `after`."""
+    scores = matrices[starts, before].copy()
+    back = np.zeros(matrices.shape[:2], np.int64)
+    lanes = list(_lanes(starts, len(matrices)))
+    for active, rows in lanes:
+        through = scores[active][:, :, None] + matrices[rows]
+        back[rows] = through.argmax(axis=1)
+        scores[active] = through.max(axis=1)
+    role, found = after.copy(), np.zeros(len(matrices), np.int64)
+    found[np.append(starts[1:], len(matrices)) - 1] = after
+    for active, rows in reversed(lanes):
+        role[active] = back[rows, role[active]]
+        found[rows - 1] = role[active]
+    return found
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["nth", "tie"], kind="stable", na_position="first")
-        matrix = _folded(_steps(model, ordered))
-        return pd.DataFrame({"key": ordered["key"].iloc[:1], "block": ordered["block"].iloc[:1], "matrix": [matrix.ravel().tolist()]})
 
-    return run
+def _matrices(frame: pd.DataFrame, size: int) -> np.ndarray:
+    return np.stack(frame["matrix"].to_numpy()).reshape(-1, size, size)
 
 
-def _reduced_blocks(size: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("block", kind="stable")
-        matrix = _folded(np.stack(ordered["matrix"].map(np.array).tolist()).reshape(-1, size, size))
-        return pd.DataFrame({"key": ordered["key"].iloc[:1], "block": ordered["above"].iloc[:1], "matrix": [matrix.ravel().tolist()]})
+def _reduced(size: int, matrices, group: str):
+    """One row per group: key, block and the group's matrix; `matrices` are those of its rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(frames, ["key", group]):
+            total = folded(matrices(frame), starts)
+            heads = frame.iloc[starts]
+            yield pd.DataFrame({"key": heads["key"], "block": heads[group], "matrix": list(total.reshape(-1, size * size))})
 
     return run
 
 
-def _handed_down(size: int):
-    """Per block its roles before and at its end, from those of the block above it."""
+def _ends(size: int):
+    """A transcript's best last role, from the matrices of its topmost blocks; what is before it has no say."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("block", kind="stable")
-        matrices = np.stack(ordered["matrix"].map(np.array).tolist()).reshape(-1, size, size)
-        before, after = int(ordered["before"].iloc[0]), int(ordered["after"].iloc[0])
-        ends = _path(matrices, before, after)
-        return pd.DataFrame(
-            {"key": ordered["key"], "block": ordered["block"], "before": [before, *ends[:-1]], "after": ends}
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(frames, ["key"]):
+            total = folded(_matrices(frame, size), starts)
+            yield pd.DataFrame({"key": frame["key"].iloc[starts], "before": 0, "after": total[:, 0].argmax(axis=1)})
 
     return run
 
 
-def _named(model: RoleModel):
-    """Utterances of a block with their roles, from the roles before it and at its end."""
+def _handed_down(matrices, group: str, kept: list[str]):
+    """Rows of a group with the roles before and at the end of each, from those of the group."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["nth", "tie"], kind="stable", na_position="first")
-        path = _path(_steps(model, ordered), int(ordered["before"].iloc[0]), int(ordered["after"].iloc[0]))
-        return pd.DataFrame(
-            {
-                "key": ordered["key"],
-                "nth": ordered["nth"],
-                "tie": ordered["tie"],
-                "role": [model.roles[p] for p in path],
-            }
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(frames, ["key", group]):
+            given = frame[["before", "after"]].to_numpy(np.int64)
+            after = paths(matrices(frame), starts, given[starts, 0], given[starts, 1])
+            before = np.concatenate([[0], after[:-1]])
+            before[starts] = given[starts, 0]
+            yield frame[kept].assign(before=before, after=after)
 
     return run
 
@@ -277,38 +294,41 @@ def recover_roles(
     lines = _marked(once).select("key", "nth", "tie", "block", *[f"f.{n}" for n in FEATURES])
     lines = materialise(lines if size else lines.limit(0), f"{folder}/lines")
     schema = f"key {kind}, block long, matrix array<double>"
-    levels = [materialise(lines.groupBy("key", "block").applyInPandas(_reduced(model), schema), f"{folder}/level=0")]
+    def steps(frame: pd.DataFrame) -> np.ndarray:
+        return _steps(model, frame)
+
+    def stored(frame: pd.DataFrame) -> np.ndarray:
+        return _matrices(frame, size)
+
+    def grouped(frame: DataFrame, group: list[str], order: list[str], run, schema: str) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+    schema, roles = f"key {kind}, block long, matrix array<double>", "before int, after int"
+    first = grouped(lines, ["key", "block"], ["nth", "tie"], _reduced(size, steps, "block"), schema)
+    levels = [materialise(first, f"{folder}/level=0")]
     while levels[-1].groupBy("key").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").take(1):
-        grouped = levels[-1].withColumn("above", F.floor(F.col("block") / BLOCK)).groupBy("key", "above")
-        levels.append(materialise(grouped.applyInPandas(_reduced_blocks(size), schema), f"{folder}/level={len(levels)}"))
-    # What stands before a transcript doesn't matter (its opening has equal rows); its end is the best.
-    top = levels[-1].groupBy("key").applyInPandas(_ends(size), f"key {kind}, before int, after int")
-    ends = top.withColumn("above", F.lit(0).cast("long"))
+        above = levels[-1].withColumn("above", F.floor(F.col("block") / BLOCK))
+        next_level = grouped(above, ["key", "above"], ["block"], _reduced(size, stored, "above"), schema)
+        levels.append(materialise(next_level, f"{folder}/level={len(levels)}"))
+    top = grouped(levels[-1], ["key"], ["block"], _ends(size), f"key {kind}, {roles}")
+    ends = materialise(top.withColumn("above", F.lit(0).cast("long")), f"{folder}/ends")
     for level in range(len(levels) - 1, -1, -1):
         above = F.lit(0).cast("long") if level == len(levels) - 1 else F.floor(F.col("block") / BLOCK)
         given = _joined(levels[level].withColumn("above", above), ends, ["key", "above"])
-        down = given.groupBy("key", "above").applyInPandas(
-            _handed_down(size), f"key {kind}, block long, before int, after int"
+        down = grouped(
+            given, ["key", "above"], ["block"], _handed_down(stored, "above", ["key", "block"]), f"key {kind}, block long, {roles}"
         )
         ends = materialise(down.withColumnRenamed("block", "above"), f"{folder}/down={level}")
     given = _joined(lines.withColumn("above", F.col("block")), ends, ["key", "above"])
-    named = given.groupBy("key", "block").applyInPandas(_named(model), f"key {kind}, nth long, tie long, role string")
+    named = grouped(
+        given, ["key", "block"], ["nth", "tie"], _handed_down(steps, "block", ["key", "nth", "tie"]), f"key {kind}, nth long, tie long, {roles}"
+    )
+    names = F.array(*[F.lit(r) for r in model.roles]).cast("array<string>")
     return named.select(
-        F.col("key").alias(conv), F.col("nth").alias(order), "tie", F.col("role").alias("role_pred")
+        F.col("key").alias(conv), F.col("nth").alias(order), "tie", F.get(names, F.col("after")).alias("role_pred")
     )
 
 
-def _ends(size: int):
-    """A transcript's best last role, from the matrices of its topmost blocks."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("block", kind="stable")
-        total = _folded(np.stack(ordered["matrix"].map(np.array).tolist()).reshape(-1, size, size))
-        return pd.DataFrame({"key": ordered["key"].iloc[:1], "before": [0], "after": [int(total[0].argmax())]})
-
-    return run
-
-
 def render(role: Column, text: Column) -> Column:
     """One canonical turn."""
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), bare_text(text), F.lit("<|im_end|>\n"))
