@@ -66,18 +66,15 @@ def _slices_of(values: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _summed(dtype: str):
-    """Adds up the arrays of each slice."""
+def _summed(sent: str, kept: str):
+    """Adds up the arrays of each slice, as wider numbers than are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(data.as_buffer(), dtype)
-                if key in sums:
-                    sums[key] += part
-                else:
-                    sums[key] = part.copy()
+                part = np.frombuffer(data.as_buffer(), sent).astype(kept)
+                sums[key] = sums[key] + part if key in sums else part
         for key, total in sums.items():
             columns = [pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "data"])
@@ -95,14 +92,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.unique(row * BUCKETS + (words % np.uint64(BUCKETS - 1)).astype(np.int64))
             counts += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
             counts[-1] += len(bounds) - 1
-    yield _slices_of(counts)
+    yield _slices_of(counts.astype(np.int32))
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """log((1 + documents) / (1 + documents with the word)) per bucket of words, over all documents."""
     ship(docs.sparkSession)
     parts = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "slice int, data binary")
-    total = parts.repartition(_SLICES, "slice").mapInArrow(_summed("i8"), "slice int, data binary")
+    total = parts.repartition(_SLICES, "slice").mapInArrow(_summed("i4", "i8"), "slice int, data binary")
     found = {r["slice"]: np.frombuffer(r["data"], np.int64) for r in total.collect()}
     counts = np.concatenate([found[s] for s in range(_SLICES)]) if found else np.zeros(BUCKETS, np.int64)
     return np.log((1 + counts[-1]) / (1 + counts)).astype(np.float32)
@@ -176,7 +173,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: in
     basis = None
     for _ in range(rounds + 1):
         parts = texts.mapInArrow(_gram_pass(idf, basis, rank, seed), "slice int, data binary")
-        summed = parts.repartition(_SLICES, "slice").mapInArrow(_summed("f8"), "slice int, data binary")
+        summed = parts.repartition(_SLICES, "slice").mapInArrow(_summed("f8", "f8"), "slice int, data binary")
         found = summed.collect()
         basis = np.zeros((FEATURES, rank))
         if found:
