@@ -315,14 +315,12 @@ def recover_roles(
     for level in range(len(levels) - 1, -1, -1):
         above = F.lit(0).cast("long") if level == len(levels) - 1 else F.floor(F.col("block") / BLOCK)
         given = _joined(levels[level].withColumn("above", above), ends, ["key", "above"])
-        down = grouped(
-            given, ["key", "above"], ["block"], _handed_down(stored, "above", ["key", "block"]), f"key {kind}, block long, {roles}"
-        )
+        hand_down = _handed_down(stored, "above", ["key", "block"])
+        down = grouped(given, ["key", "above"], ["block"], hand_down, f"key {kind}, block long, {roles}")
         ends = materialise(down.withColumnRenamed("block", "above"), f"{folder}/down={level}")
     given = _joined(lines.withColumn("above", F.col("block")), ends, ["key", "above"])
-    named = grouped(
-        given, ["key", "block"], ["nth", "tie"], _handed_down(steps, "block", ["key", "nth", "tie"]), f"key {kind}, nth long, tie long, {roles}"
-    )
+    hand_down = _handed_down(steps, "block", ["key", "nth", "tie"])
+    named = grouped(given, ["key", "block"], ["nth", "tie"], hand_down, f"key {kind}, nth long, tie long, {roles}")
     names = F.array(*[F.lit(r) for r in model.roles]).cast("array<string>")
     return named.select(
         F.col("key").alias(conv), F.col("nth").alias(order), "tie", F.get(names, F.col("after")).alias("role_pred")

@@ -115,8 +115,8 @@ def hashed_words(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, 64-bit hash) of every word; words never cross row bounds.
 
-    ASCII and accented Latin capitals count as small letters. With `prefixes` there is a row of hashes for the words, and one for each length given, of
-    the words' first bytes.
+    ASCII and accented Latin capitals count as small letters. With `prefixes` there is a row of
+    hashes for the words, and one for each length given, of the words' first bytes.
     """
     codes = word_table()[data]
     inside = codes != 0

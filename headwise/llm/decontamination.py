@@ -161,7 +161,9 @@ def _gram_pass(idf: np.ndarray, basis: np.ndarray | None, width: int, seed: int)
     return run
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def latent_space(
+    items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 2, seed: int = 11
+) -> np.ndarray:
     """Right singular vectors (FEATURES x rank) of the benchmark's TF-IDF passages.
 
     Randomised subspace iteration: each round multiplies the basis by A'A in one pass over

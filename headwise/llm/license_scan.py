@@ -182,9 +182,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     places = _phrase_places(F.col("words"), F.col("indexed"))
     columns = [F.col(c) for c in ("words", "indexed", "anchors")]
     scores = [_notice_score(*columns, idf, key, notice.split()) for _, key, notice in NOTICES]
-    matched = words.select(
-        "id", "n_words", F.struct(*[p.alias(label) for label, p in places.items()]).alias("places"), F.array(*scores).alias("scores")
-    )
+    by_label = F.struct(*[p.alias(label) for label, p in places.items()])
+    matched = words.select("id", "n_words", by_label.alias("places"), F.array(*scores).alias("scores"))
     base = F.array_compact(F.array(*[F.when(F.size(F.col("places")[label]) > 0, label) for label in places]))
     noticed = [F.when(F.col("scores")[n] > 0, NOTICES[n][0]) for n in range(len(NOTICES))]
     starts = F.concat(*[F.col("places")[label] for label in places])

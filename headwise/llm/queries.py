@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import chat, decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
+from headwise.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    simhash,
+    token_output,
+    toxicity,
+    url_filter,
+)
 from headwise.llm.common import documents, remainder
 from headwise.session import scratch_path
 
@@ -84,7 +95,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_simhash, op4_decontamination, op5_toxicity, op6_exact_dedup, op7_mixing, op8_url_filter, op9_chat_format, op10_license_scan)}
+    registered = (
+        op1_token_output,
+        op2_language_id,
+        op3_simhash,
+        op4_decontamination,
+        op5_toxicity,
+        op6_exact_dedup,
+        op7_mixing,
+        op8_url_filter,
+        op9_chat_format,
+        op10_license_scan,
+    )
+    return {query.__name__: query for query in registered}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -200,7 +200,9 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
     )
     row = fresh_name(docs, "row")
     again = fingerprints(
-        docs.join(repeated, id, "left_semi").select(F.col(id).alias("id"), F.struct(*docs.columns).alias(row), F.col(text).alias("text")),
+        docs.join(repeated, id, "left_semi").select(
+            F.col(id).alias("id"), F.struct(*docs.columns).alias(row), F.col(text).alias("text")
+        ),
         "text",
         options.get("shingle", 3),
         options.get("seed", 42),

@@ -5,11 +5,11 @@ A folder holds, per shard,
     tokens-00000.arrows   record batches (ids: fixed_size_list<uint16>[L], mask: fixed_size_list<bool>[L])
     index-00000.arrows    record batches (doc_id: int64, start: int64, n_tokens: int64)
 
-in Arrow's stream format; ids are uint32 for vocabularies beyond 65,536. A shard's documents stand in ascending id order, one after another
-and each closed by the end id, cut into sequences of L ids; only the last sequence is
-padded, with mask 0. All batches but the last have the same number of sequences, so sequence i lies in a known
-batch at a known row, and a memory map gives it without copying. `start` counts ids from
-the shard's beginning. `shards/` (Parquet) says what each shard holds.
+in Arrow's stream format; ids are uint32 for vocabularies beyond 65,536. A shard's documents
+stand in ascending id order, one after another and each closed by the end id, cut into
+sequences of L ids; only the last sequence is padded, with mask 0. All batches but the last have
+the same number of sequences, so sequence i lies in a known batch at a known row, and a memory
+map gives it without copying. `start` counts ids from the shard's beginning. `shards/` (Parquet) says what each shard holds.
 """
 
 from __future__ import annotations
@@ -378,7 +378,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     `start` counts the ids of all documents before it in all shards.
     """
-    return _read(spark, folder, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: ids.astype(np.int32).tolist())
+    schema = "doc_id long, start long, n_tokens long, ids array<int>"
+    return _read(spark, folder, schema, lambda ids: ids.astype(np.int32).tolist())
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:

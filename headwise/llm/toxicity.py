@@ -68,7 +68,8 @@ def _sample(labels: DataFrame, id: str, label: str, held_out: Column | None, bou
 
     An id with several labels counts as toxic if one of them says so.
     """
-    usable = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"), (held_out if held_out is not None else F.lit(False)).alias("out"))
+    out = held_out if held_out is not None else F.lit(False)
+    usable = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"), out.alias("out"))
     known = usable.where("id IS NOT NULL AND label IN (0, 1) AND NOT out").groupBy("id").agg(F.max("label").alias("label"))
     known = materialise(known, f"{scratch_path(labels.sparkSession, 'labelled')}")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
