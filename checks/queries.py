@@ -16,7 +16,6 @@ from headwise.operators import pairs as pr
 from headwise.operators import timetable as tt
 from headwise.plans import fixed, marts, report, scheduled
 from headwise.plans.ingest import ingest
-from headwise.schemas import STOP_TIME_UPDATES, VEHICLE_POSITIONS
 from headwise.session import configure, materialise, scratch_path
 from headwise.sources import captures, events, feeds, static, tables
 from headwise.sources.static import Names
