@@ -42,6 +42,7 @@ def session() -> SparkSession:
         .appName("headwise-bench")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", CPUS)
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m")  # sizing, as the README advises for a timetable
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
