@@ -2,7 +2,8 @@
 
 1. Inverse document frequencies are counted over all documents, in hashed buckets.
 2. The benchmark's passages as TF-IDF vectors over hashed words are factored by a distributed
-   randomised SVD; its right vectors span the latent space.
+   randomised SVD, in groups of no more passages than directions; the right vectors span each
+   group's latent space, so it has its passages whole, however many items there are.
 3. Every window of every document is held against every benchmark passage by cosine in that
    space. A window with too little of its squared weight on benchmark words cannot
    qualify and is passed over first.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from headwise.llm.common import byte_chunks, fresh_name, hashed_words, ship
 
 #: Buckets of the document frequencies and hashed features of the latent space: both bound what is broadcast.
 BUCKETS, FEATURES, RANK = 1 << 18, 1 << 15, 128
-#: Items held against the documents at once.
+#: Passages held against the documents at once; an item's are together.
 BLOCK = 5_000
 #: Windows of words; an item is sought with the smallest that holds it, a longer one in parts.
 WINDOWS = (8, 16, 32, 64)
@@ -66,7 +67,7 @@ def _slices_of(values: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _summed(sent: str, kept: str):
+def _summed(sent: str, kept: str, key_type: pa.DataType = pa.int32()):
     """Adds up the arrays of each slice, as wider numbers than are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def _summed(sent: str, kept: str):
                 part = np.frombuffer(data.as_buffer(), sent).astype(kept)
                 sums[key] = sums[key] + part if key in sums else part
         for key, total in sums.items():
-            columns = [pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+            columns = [pa.array([key], key_type), pa.array([total.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "data"])
 
     return run
@@ -135,56 +136,84 @@ def passages(words: np.ndarray) -> list[np.ndarray]:
 
 def _unit_rows(text: str | None, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, weights of length 1) of an item's passages."""
-    rows = []
-    for part in passages(_words_of(text)):
-        weight = _weights(idf, part).astype(np.float64)
-        norm = np.sqrt((weight**2).sum())
-        if norm > 0:
-            rows.append((_features(part), weight / norm))
-    return rows
+    return [row for part in passages(_words_of(text)) for row in _unit_row(part, idf)]
 
 
-def _gram_pass(idf: np.ndarray, basis: np.ndarray | None, width: int, seed: int):
-    """Partial sums of A'AX over a task's items; X is `basis`, or random at first."""
+def _unit_row(part: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    weight = _weights(idf, part).astype(np.float64)
+    norm = np.sqrt((weight**2).sum())
+    return [(_features(part), weight / norm)] if norm > 0 else []
+
+
+#: By space: its features, and their vectors.
+Bases = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _matrix(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, rows x features) of (features, weights); a repeated feature's weights add up."""
+    features = np.unique(np.concatenate([at for at, _ in rows]))
+    matrix = np.zeros((len(rows), len(features)))
+    for nth, (at, weight) in enumerate(rows):
+        np.add.at(matrix[nth], np.searchsorted(features, at), weight)
+    return features, matrix
+
+
+def _gram_pass(idf: np.ndarray, bases: Bases | None, width: int, seed: int):
+    """Partial sums of A'AX over a task's passages of each space; X is its basis, or random at first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = basis if basis is not None else np.random.default_rng(seed).standard_normal((FEATURES, width))
-        total = np.zeros((FEATURES, width), np.float64)
+        spaces: dict[int, list] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for at, weight in _unit_rows(text, idf):
-                    np.add.at(total, at, weight[:, None] * (weight @ x[at])[None, :])
-        rows = np.flatnonzero(total.any(axis=1))
-        columns = [pa.array(rows.astype(np.int32)), pa.array([total[r].tobytes() for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["slice", "data"])
+            for space, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spaces.setdefault(space, []).extend(_unit_row(np.frombuffer(data, np.uint64), idf))
+        x = np.random.default_rng(seed).standard_normal((FEATURES, width)) if bases is None and spaces else None
+        for space, rows in spaces.items():
+            if rows:
+                at, matrix = _matrix(rows)
+                own = x[at] if bases is None else bases[space][1][np.searchsorted(bases[space][0], at)]
+                total = matrix.T @ (matrix @ own)
+                keys = pa.array(space * FEATURES + at, pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([t.tobytes() for t in total], pa.binary())], ["slice", "data"])
 
     return run
 
 
-def latent_space(
-    items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 2, seed: int = 11
-) -> np.ndarray:
-    """Right singular vectors (FEATURES x rank) of the benchmark's TF-IDF passages.
+def latent_spaces(parts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> Bases:
+    """Right singular vectors of the TF-IDF passages of each space; `parts` has (space, words).
 
-    Randomised subspace iteration: each round multiplies the basis by A'A in one pass over
-    the passages, summed by feature, and makes it orthonormal. What reaches
-    the driver has a fixed size, whatever the number of items.
+    Randomised subspace iteration: each round multiplies the bases by A'A in one pass over
+    the passages, summed by space and feature, and makes them orthonormal. A space of no more
+    passages than `rank` is that of all of them.
     """
-    ship(items.sparkSession)
-    texts = items.select(F.col(text).alias("text")).repartition(items.sparkSession.sparkContext.defaultParallelism)
-    basis = None
+    ship(parts.sparkSession)
+    bases = None
     for _ in range(rounds + 1):
-        parts = texts.mapInArrow(_gram_pass(idf, basis, rank, seed), "slice int, data binary")
-        summed = parts.repartition(_SLICES, "slice").mapInArrow(_summed("f8", "f8"), "slice int, data binary")
+        sums = parts.mapInArrow(_gram_pass(idf, bases, rank, seed), "slice long, data binary")
+        summed = sums.repartition(_SLICES, "slice").mapInArrow(_summed("f8", "f8", pa.int64()), "slice long, data binary")
         found = summed.collect()
-        basis = np.zeros((FEATURES, rank))
-        if found:
-            rows = np.array([r["slice"] for r in found])
-            order = np.argsort(rows)
-            total = np.stack([np.frombuffer(found[i]["data"], np.float64) for i in order])
+        keys = np.array([r["slice"] for r in found], np.int64)
+        order, bases = np.argsort(keys), {}
+        for space in np.unique(keys // FEATURES).tolist():
+            own = order[slice(*np.searchsorted(keys[order], [space * FEATURES, (space + 1) * FEATURES]))]
+            total = np.stack([np.frombuffer(found[i]["data"], np.float64) for i in own])
             # With fewer features than directions the space is all of them.
-            basis[rows[order]] = np.linalg.qr(total)[0] if len(rows) >= rank else np.eye(len(rows), rank)
-    return basis.astype(np.float32)
+            basis = np.linalg.qr(total)[0] if len(own) >= rank else np.eye(len(own), rank)
+            bases[space] = keys[own] - space * FEATURES, basis
+    return bases
+
+
+def latent_space(
+    items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 2, seed: int = 11
+) -> np.ndarray:
+    """Right singular vectors (FEATURES x rank) of all passages of some items, in one space."""
+    texts = [r[0] for r in items.select(text).toLocalIterator()]
+    rows = [(0, part.tobytes()) for t in texts for part in passages(_words_of(t))]
+    basis = np.zeros((FEATURES, rank), np.float32)
+    if rows:
+        parts = items.sparkSession.createDataFrame(rows, "space int, words binary")
+        for at, vectors in latent_spaces(parts, idf, rank, rounds, seed).values():
+            basis[at] = vectors
+    return basis
 
 
 # --- search ----------------------------------------------------------------------------
@@ -204,16 +233,26 @@ def common_subsequence(left: np.ndarray, right: np.ndarray) -> int:
     return len(left) - row.bit_count()
 
 
+@dataclass(frozen=True)
+class Space:
+    """Passages of one window length, and their latent space."""
+
+    size: int
+    own: np.ndarray  # by word of the block's vocabulary, and none: its row of the vectors
+    vectors: np.ndarray  # latent vector of each own word, and a last row of zeros
+    queries: np.ndarray  # unit vectors of passages
+    items: np.ndarray  # and their items
+
+
 @dataclass(frozen=True)
 class Block:
-    """Items to look for, and what of the latent space they need."""
+    """Items to look for, and what of the latent spaces they need."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: np.ndarray
-    vectors: np.ndarray  # latent vector of each word of the vocabulary, and a last row of zeros
-    queries: dict[int, tuple[np.ndarray, np.ndarray]]  # by window: unit vectors and items of passages
+    spaces: list[Space]
 
 
 def _last_sentence(text: str) -> str:
@@ -221,24 +260,38 @@ def _last_sentence(text: str) -> str:
     return parts[-1] if parts else text
 
 
-def make_block(rows: list[tuple[int | None, str | None, str | None]], idf: np.ndarray, basis: np.ndarray) -> Block:
+def _space(size: int, own: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray, basis: tuple) -> Space:
+    """From (item, words) of passages."""
+    features, directions = basis
+    words = np.unique(np.concatenate([part for _, part in own]))
+    rows = np.full(len(vocabulary) + 1, len(words), np.int32)
+    rows[np.searchsorted(vocabulary, words)] = np.arange(len(words))
+    vectors = np.zeros((len(words) + 1, directions.shape[1]), np.float32)
+    vectors[:-1] = directions[np.searchsorted(features, _features(words))]
+    latent = np.stack([_weights(idf, p) @ directions[np.searchsorted(features, _features(p))] for _, p in own])
+    queries = (latent / np.linalg.norm(latent, axis=1)[:, None]).astype(np.float32)
+    return Space(size, rows, vectors, queries, np.array([i for i, _ in own], np.int64))
+
+
+def make_block(spark: SparkSession, rows: list[tuple[int | None, str | None, str | None]], idf: np.ndarray) -> Block:
     """From (id, text, answer); an item without an answer has its last sentence for one."""
     rows = [r for r in rows if len(_words_of(r[1]))]
     words = [_words_of(r[1]) for r in rows]
     answers = [_words_of(r[2] if r[2] and len(_words_of(r[2])) else _last_sentence(r[1])) for r in rows]
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    vectors = np.concatenate([basis[_features(vocabulary)], np.zeros((1, basis.shape[1]), np.float32)])
-    queries: dict[int, tuple[list, list]] = {}
+    by_window: dict[int, list[tuple[int, np.ndarray]]] = {}
     for item, own in enumerate(words):
         for part in passages(own):
-            latent = _weights(idf, part) @ basis[_features(part)]
-            norm = np.linalg.norm(latent)
-            if norm > 0:
-                into = queries.setdefault(_window(len(part)), ([], []))
-                into[0].append(latent / norm)
-                into[1].append(item)
-    packed = {w: (np.array(v, np.float32), np.array(i, np.int64)) for w, (v, i) in queries.items()}
-    return Block([r[0] for r in rows], words, answers, vocabulary, vectors, packed)
+            if _unit_row(part, idf):
+                by_window.setdefault(_window(len(part)), []).append((item, part))
+    groups = [(w, own[a : a + RANK]) for w, own in sorted(by_window.items()) for a in range(0, len(own), RANK)]
+    stated = [(n, part.tobytes()) for n, (_, own) in enumerate(groups) for _, part in own]
+    bases = {}
+    if stated:
+        parts = spark.createDataFrame(stated, "space int, words binary")
+        bases = latent_spaces(parts.repartition(spark.sparkContext.defaultParallelism), idf)
+    spaces = [_space(w, own, vocabulary, idf, bases[n]) for n, (w, own) in enumerate(groups)]
+    return Block([r[0] for r in rows], words, answers, vocabulary, spaces)
 
 
 def _places(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -255,6 +308,16 @@ def _places(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     return place
 
 
+def _latent(
+    space: Space, own: np.ndarray, weight: np.ndarray, known: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> np.ndarray:
+    """The latent vectors of windows, each from low to high (not empty) of the known places."""
+    length = high - low
+    begin = np.cumsum(length) - length
+    at = known[np.repeat(low - begin, length) + np.arange(length.sum())]
+    return np.add.reduceat(space.vectors[own[at]] * weight[at][:, None], begin, axis=0)
+
+
 def _candidates(
     block: Block, idf: np.ndarray, words: np.ndarray, first: np.ndarray, count: np.ndarray
 ) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
@@ -265,29 +328,26 @@ def _candidates(
     weight = _weights(idf, words)
     place = _places(block.vocabulary, words)
     square = np.concatenate([[0.0], np.cumsum(weight.astype(np.float64) ** 2)])
-    known = np.concatenate([[0.0], np.cumsum(np.where(place < len(block.vocabulary), weight.astype(np.float64) ** 2, 0))])
     found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for size, (vectors, items) in block.queries.items():
-        step = size // 4
+    for space in block.spaces:
+        size, step = space.size, space.size // 4
+        own = space.own[place]
+        at_known = np.flatnonzero(own < len(space.vectors) - 1)
+        known = np.concatenate([[0.0], np.cumsum(weight[at_known].astype(np.float64) ** 2)])
         windows = np.where(count > 0, 1 + -(-np.maximum(count - size, 0) // step), 0)
         row = np.repeat(np.arange(len(count)), windows)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = first[row] + nth * step
         end = np.minimum(start + size, first[row] + count[row])
         whole = square[end] - square[start]
-        near = np.flatnonzero((known[end] - known[start] >= COSINE**2 * whole) & (whole > 0))
-        for at in range(0, len(near), 2048):
-            some = near[at : at + 2048]
-            latent = np.zeros((len(some), vectors.shape[1]), np.float32)
-            for offset in range(size):
-                word = start[some] + offset
-                inside = word < end[some]
-                word = np.where(inside, word, 0)
-                known_word = np.where(inside, place[word], len(block.vocabulary))
-                latent += block.vectors[known_word] * weight[word][:, None]
-            cosine = latent @ vectors.T / np.sqrt(whole[some]).astype(np.float32)[:, None]
+        low, high = np.searchsorted(at_known, start), np.searchsorted(at_known, end)
+        near = np.flatnonzero((known[high] - known[low] >= COSINE**2 * whole) & (whole > 0) & (high > low))
+        for at in range(0, len(near), 512):
+            some = near[at : at + 512]
+            latent = _latent(space, own, weight, at_known, low[some], high[some])
+            cosine = latent @ space.queries.T / np.sqrt(whole[some]).astype(np.float32)[:, None]
             for w, q in np.argwhere(cosine >= COSINE).tolist():
-                key = int(row[some[w]]), int(items[q])
+                key = int(row[some[w]]), int(space.items[q])
                 found.setdefault(key, []).append((int(start[some[w]]), int(end[some[w]]), float(cosine[w, q])))
     return found
 
@@ -378,15 +438,16 @@ def find_leaks(
     columns = [F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")]
     stated = items.select(*columns, (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
     idf = inverse_frequencies(docs, text)
-    basis = latent_space(stated, idf)
     leaks = fresh_name(docs, "leaks")
     result = docs.withColumn(leaks, F.array().cast(LEAKS))
     rows: list[tuple] = []
+    size = 0
     for r in stated.toLocalIterator():
         rows.append(tuple(r))
-        if len(rows) == BLOCK:
-            result, rows = _searched(result, text, leaks, make_block(rows, idf, basis), idf), []
-    return _searched(result, text, leaks, make_block(rows, idf, basis), idf) if rows else result
+        size += len(passages(_words_of(r["text"])))
+        if size >= BLOCK:
+            result, rows, size = _searched(result, text, leaks, make_block(spark, rows, idf), idf), [], 0
+    return _searched(result, text, leaks, make_block(spark, rows, idf), idf) if rows else result
 
 
 def _searched(docs: DataFrame, text: str, leaks: str, block: Block, idf: np.ndarray) -> DataFrame:

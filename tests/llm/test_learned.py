@@ -132,6 +132,37 @@ def test_planted_items_are_found_and_others_left_alone(spark):
     assert planted and set(planted) <= found and len(found - set(planted)) <= len(planted) // 20
 
 
+def planted(spark, items, hosts, copies):
+    """(document, item) of copies put into documents, and those of them that are found."""
+    texts = list(hosts)
+    for nth, (at, item) in enumerate(copies):
+        words = texts[at].split()
+        cut = nth * 7919 % (len(words) + 1)
+        texts[at] = " ".join([*words[:cut], items[item], *words[cut:]])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    stated = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.find_leaks(docs, stated).select("doc_id", F.explode("leaks.item_id").alias("item_id"))
+    return set(copies), {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def some_texts():
+    rows = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    return [r[0] for r in rows if 60 <= len(r[0].split()) <= 600]
+
+
+@pytest.mark.parametrize("count", [2_000, 5_000])
+def test_copies_are_found_however_many_items_there_are(spark, count):
+    draw, texts = random.Random(count), some_texts()
+    hosts, items = texts[::2], []
+    while len(items) < count:
+        words = draw.choice(texts[1::2]).split()
+        size = draw.randrange(16, 51)
+        at = draw.randrange(len(words) - size + 1)
+        items.append(" ".join(words[at : at + size]))
+    wanted, found = planted(spark, items, hosts[:120], [(i, draw.randrange(count)) for i in range(120)])
+    assert not wanted - found
+
+
 def test_the_latent_space_is_that_of_the_passages(spark):
     draw = random.Random(2)
     items = spark.createDataFrame([(i, " ".join(f"w{draw.randrange(300)}" for _ in range(30))) for i in range(40)], "item_id long, text string")
