@@ -4,9 +4,10 @@
 2. The benchmark's passages as TF-IDF vectors over hashed words are factored by a distributed
    randomised SVD, in groups of no more passages than directions; the right vectors span each
    group's latent space, so it has its passages whole, however many items there are.
-3. Every window of every document is held against every benchmark passage by cosine in that
-   space. A window with too little of its squared weight on benchmark words cannot
-   qualify and is passed over first.
+3. Every window of every document is held against every benchmark passage in that space, by
+   the product of the two over the smaller norm times the passage's: the cosine, unless the words around a
+   copy weigh more than the copy. A window that holds a whole passage has 1 at least,
+   whatever stands around it. One whose words could not give enough is passed over first.
 4. Each candidate's words are compared by longest common subsequence. A high coverage of the
    item's words is a copy; a lower one is a paraphrase if the item's answer is there too.
 
@@ -32,7 +33,9 @@ BUCKETS, FEATURES, RANK = 1 << 18, 1 << 15, 128
 BLOCK = 5_000
 #: Windows of words; an item is sought with the smallest that holds it, a longer one in parts.
 WINDOWS = (8, 16, 32, 64)
-#: Least cosine of a candidate; least share of the item's words in a copy and, with
+#: Weight of a word of every document, so that a passage of such words is sought as well.
+FLOOR = 1e-3
+#: Least score of a candidate; least share of the item's words in a copy and, with
 #: the share of its answer's words, in a paraphrase; items below SHORT words must stand whole.
 COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 0.4, 0.8, 0.55, 0.6, 8
 
@@ -97,13 +100,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the word)) per bucket of words, over all documents."""
+    """log((1 + documents) / (1 + documents with the word)) + FLOOR per bucket of words, over all documents."""
     ship(docs.sparkSession)
     parts = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "slice int, data binary")
     total = parts.repartition(_SLICES, "slice").mapInArrow(_summed("i4", "i8"), "slice int, data binary")
     found = {r["slice"]: np.frombuffer(r["data"], np.int64) for r in total.collect()}
     counts = np.concatenate([found[s] for s in range(_SLICES)]) if found else np.zeros(BUCKETS, np.int64)
-    return np.log((1 + counts[-1]) / (1 + counts)).astype(np.float32)
+    return (np.log((1 + counts[-1]) / (1 + counts)) + FLOOR).astype(np.float32)
 
 
 def _weights(idf: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -129,7 +132,7 @@ def _window(count: int) -> int:
 def passages(words: np.ndarray) -> list[np.ndarray]:
     """An item's words, or parts of them that overlap by half if they are many."""
     longest = WINDOWS[-1]
-    if len(words) <= longest * 3 // 2:
+    if len(words) <= longest:
         return [words] if len(words) else []
     return [words[a : a + longest] for a in range(0, len(words) - longest // 2, longest // 2)]
 
@@ -241,7 +244,10 @@ class Space:
     own: np.ndarray  # by word of the block's vocabulary, and none: its row of the vectors
     vectors: np.ndarray  # latent vector of each own word, and a last row of zeros
     queries: np.ndarray  # unit vectors of passages
+    norms: np.ndarray  # their lengths
     items: np.ndarray  # and their items
+    shares: np.ndarray  # by row of the vectors: the most that the word adds to a product over the passage's squared norm
+    products: np.ndarray  # and over its norm
 
 
 @dataclass(frozen=True)
@@ -269,8 +275,14 @@ def _space(size: int, own: list[tuple[int, np.ndarray]], vocabulary: np.ndarray,
     vectors = np.zeros((len(words) + 1, directions.shape[1]), np.float32)
     vectors[:-1] = directions[np.searchsorted(features, _features(words))]
     latent = np.stack([_weights(idf, p) @ directions[np.searchsorted(features, _features(p))] for _, p in own])
-    queries = (latent / np.linalg.norm(latent, axis=1)[:, None]).astype(np.float32)
-    return Space(size, rows, vectors, queries, np.array([i for i, _ in own], np.int64))
+    norms = np.linalg.norm(latent, axis=1)
+    at, matrix = _matrix([(_features(p), _weights(idf, p).astype(np.float64)) for _, p in own])
+    weight, matrix = _weights(idf, words), matrix / norms[:, None]
+    products, shares = (
+        np.append(weight * most.max(axis=0)[np.searchsorted(at, _features(words))], 0.0) for most in (matrix, matrix / norms[:, None])
+    )
+    queries, items = (latent / norms[:, None]).astype(np.float32), np.array([i for i, _ in own], np.int64)
+    return Space(size, rows, vectors, queries, norms.astype(np.float32), items, shares, products)
 
 
 def make_block(spark: SparkSession, rows: list[tuple[int | None, str | None, str | None]], idf: np.ndarray) -> Block:
@@ -321,9 +333,10 @@ def _latent(
 def _candidates(
     block: Block, idf: np.ndarray, words: np.ndarray, first: np.ndarray, count: np.ndarray
 ) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
-    """(row, item): windows (start, end, cosine) whose cosine is high enough.
+    """(row, item): windows (start, end, cosine) whose score is high enough.
 
     `words` are those of all rows, one after another; row i has count[i] from first[i].
+    Windows reach a step beyond their size, so every stretch of that size is in one as a whole.
     """
     weight = _weights(idf, words)
     place = _places(block.vocabulary, words)
@@ -333,20 +346,23 @@ def _candidates(
         size, step = space.size, space.size // 4
         own = space.own[place]
         at_known = np.flatnonzero(own < len(space.vectors) - 1)
-        known = np.concatenate([[0.0], np.cumsum(weight[at_known].astype(np.float64) ** 2)])
+        share, product = (np.concatenate([[0.0], np.cumsum(x[own[at_known]])]) for x in (space.shares, space.products))
         windows = np.where(count > 0, 1 + -(-np.maximum(count - size, 0) // step), 0)
         row = np.repeat(np.arange(len(count)), windows)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = first[row] + nth * step
-        end = np.minimum(start + size, first[row] + count[row])
+        end = np.minimum(start + size + step, first[row] + count[row])
         whole = square[end] - square[start]
         low, high = np.searchsorted(at_known, start), np.searchsorted(at_known, end)
-        near = np.flatnonzero((known[high] - known[low] >= COSINE**2 * whole) & (whole > 0) & (high > low))
+        # No score is above the sums of the most that each word can add.
+        enough = (share[high] - share[low] >= 0.999 * COSINE) | (product[high] - product[low] >= 0.999 * COSINE * np.sqrt(whole))
+        near = np.flatnonzero(enough & (high > low))
         for at in range(0, len(near), 512):
             some = near[at : at + 512]
-            latent = _latent(space, own, weight, at_known, low[some], high[some])
-            cosine = latent @ space.queries.T / np.sqrt(whole[some]).astype(np.float32)[:, None]
-            for w, q in np.argwhere(cosine >= COSINE).tolist():
+            norm = np.sqrt(whole[some]).astype(np.float32)[:, None]
+            along = _latent(space, own, weight, at_known, low[some], high[some]) @ space.queries.T
+            cosine = along / norm
+            for w, q in np.argwhere(along >= COSINE * np.minimum(norm, space.norms)).tolist():
                 key = int(row[some[w]]), int(space.items[q])
                 found.setdefault(key, []).append((int(start[some[w]]), int(end[some[w]]), float(cosine[w, q])))
     return found

@@ -134,12 +134,11 @@ def test_planted_items_are_found_and_others_left_alone(spark):
 
 def planted(spark, items, hosts, copies):
     """(document, item) of copies put into documents, and those of them that are found."""
-    texts = list(hosts)
+    pieces = [t.split() for t in hosts]
     for nth, (at, item) in enumerate(copies):
-        words = texts[at].split()
-        cut = nth * 7919 % (len(words) + 1)
-        texts[at] = " ".join([*words[:cut], items[item], *words[cut:]])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        pieces[at].insert(nth * 7919 % (len(pieces[at]) + 1), items[item])
+    texts = [(i, " ".join(p)) for i, p in enumerate(pieces)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     stated = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     found = decontamination.find_leaks(docs, stated).select("doc_id", F.explode("leaks.item_id").alias("item_id"))
     return set(copies), {(r.doc_id, r.item_id) for r in found.collect()}
@@ -163,6 +162,17 @@ def test_copies_are_found_however_many_items_there_are(spark, count):
     assert not wanted - found
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_a_passage_that_stands_in_many_documents_is_found(spark, every):
+    hosts = some_texts()[:150]
+    draw, known = random.Random(7), sorted({w for t in hosts for w in t.split()})
+    hot = ["single", " ".join(f"hot{i}" for i in range(5)), " ".join(f"warm{i}" for i in range(18)), " ".join(f"lava{i}" for i in range(80))]
+    items = [*hot, *(" ".join(draw.choices(known, k=draw.randrange(10, 60))) for _ in range(150))]
+    copies = [(at, item) for item in range(len(hot)) for at in range(0, 150, every)]
+    wanted, found = planted(spark, items, hosts, copies)
+    assert not wanted - found
+
+
 def test_the_latent_space_is_that_of_the_passages(spark):
     draw = random.Random(2)
     items = spark.createDataFrame([(i, " ".join(f"w{draw.randrange(300)}" for _ in range(30))) for i in range(40)], "item_id long, text string")
