@@ -1,9 +1,10 @@
 """Licence notices in texts, by a positional index of rare words; DataFrame operations only.
 
-Templates of notices are indexed as postings (word, template, position). In a text, its
-rarest licence words are looked up, each posting says where the template would have to
-begin, and the template's words are held against the text at that place. A template counts
-if its mandatory key phrase stands word for word and enough of its weight is there.
+Templates of notices are indexed by the rarest word of their mandatory key phrase (word,
+template, positions). Wherever that word stands in a text, a posting says where the template
+would have to begin, and the template's words are held against the text at that place. A
+template counts if its key phrase stands word for word and enough of its weight is there; so
+no place that could count is passed over, however many licence words a text has.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from headwise.session import materialise, scratch_path
 
-#: Rarest licence words of a text that are looked up, and least share of a template's weight.
-ANCHORS, SHARE = 6, 0.6
+#: Least share of a template's weight.
+SHARE = 0.6
 
 # The phrases of the registered query and their labels.
 PHRASES = (
@@ -51,6 +52,46 @@ NOTICES = (
         "mozilla public license v 2 0",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
     ),
+    (
+        "gpl-3.0",
+        "gnu general public license as published by the free software foundation either version 3",
+        "under the terms of the gnu general public license as published by the free software foundation either version 3",
+    ),
+    (
+        "gpl-2.0",
+        "gnu general public license as published by the free software foundation either version 2",
+        "under the terms of the gnu general public license as published by the free software foundation either version 2",
+    ),
+    (
+        "lgpl-3.0",
+        "gnu lesser general public license version 3",
+        "this work is licensed under the gnu lesser general public license version 3",
+    ),
+    (
+        "lgpl-2.1",
+        "gnu lesser general public license version 2 1",
+        "this work is licensed under the gnu lesser general public license version 2 1",
+    ),
+    (
+        "agpl-3.0",
+        "gnu affero general public license version 3",
+        "this work is licensed under the gnu affero general public license version 3",
+    ),
+    ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc0-1.0", "cc0 1 0", "dedicated to the public domain under cc0 1 0"),
+    (
+        "isc",
+        "modify and or distribute this software for any purpose",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    (
+        "unlicense",
+        "free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain",
+    ),
+    ("zlib", "without any express or implied warranty", "this software is provided as is without any express or implied warranty"),
+    ("epl-2.0", "eclipse public license v 2 0", "made available under the terms of the eclipse public license v 2 0"),
 )
 _WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _NOTICE_WORDS = [n.split() for _, _, n in NOTICES]
@@ -117,25 +158,20 @@ def _phrase_places(words: Column, indexed: Column) -> dict[str, Column]:
     return {label: of(phrase.split()) for phrase, label in PHRASES}
 
 
-def _notice_score(
-    words: Column, indexed: Column, anchors: Column, idf: dict[str, float], key: str, notice: list[str]
-) -> Column:
-    """The largest share of a notice's weight at a place that an anchor points to; 0 if it doesn't count."""
+def _notice_score(words: Column, indexed: Column, idf: dict[str, float], key: str, notice: list[str]) -> Column:
+    """The largest share of a notice's weight at a place where its key phrase stands; 0 if it doesn't count."""
     text = " ".join(notice)
     before = len(text[: re.search(rf"\b{key}\b", text).start()].split())
     weight = sum(idf[w] for w in notice)
-    # An anchor word at place i of the text and j of the notice: the notice would begin at i - j.
-    postings = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(j).alias("at")) for j, w in enumerate(notice)])
-
-    def beginnings(x: Column) -> Column:
-        return F.transform(F.filter(postings, lambda p: p["word"] == x["word"]), lambda p: x["at"] - p["at"])
+    # The anchor at place i of the text and j of the key phrase: the notice would begin at i - j - before.
+    rarest = max(key.split(), key=lambda w: (idf[w], w))
+    offset = before + key.split().index(rarest)
 
     def share(start: Column) -> Column:
         found = [F.when(F.get(words, start + j) == w, idf[w]).otherwise(0.0) for j, w in enumerate(notice)]
         return F.aggregate(F.array(*found), F.lit(0.0), lambda a, b: a + b) / weight
 
-    looked_up = F.filter(indexed, lambda x: F.array_contains(anchors, x["word"]))
-    starts = F.array_distinct(F.flatten(F.transform(looked_up, beginnings)))
+    starts = F.transform(F.filter(indexed, lambda x: x["word"] == rarest), lambda x: x["at"] - offset)
     verified = F.filter(starts, lambda s: _stands(words, s + before, key.split()))
     best = F.coalesce(F.array_max(F.transform(verified, share)), F.lit(0.0))
     return F.when(best >= SHARE, F.least(best, F.lit(1.0))).otherwise(0.0)
@@ -167,21 +203,14 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         f"{folder}/words",
     )
     idf = rarity(read.select("found"), docs.sparkSession)
-    weights = F.array(*[F.struct(F.lit(-idf[w]).alias("weight"), F.lit(w).alias("word")) for w in idf])
-    rarest = F.slice(F.array_sort(F.filter(weights, lambda x: F.array_contains(F.col("found"), x["word"]))), 1, ANCHORS)
     held = read.where("kept IS NOT NULL")
     indexed = F.filter(
         F.transform(F.col("words"), lambda w, at: F.struct(at.alias("at"), w.alias("word"))),
         lambda x: F.array_contains(vocabulary, x["word"]),
     )
-    words = (
-        held.withColumn("words", words_of(F.col("kept")))
-        .withColumn("anchors", F.transform(rarest, lambda x: x["word"]))
-        .withColumn("indexed", indexed)
-    )
+    words = held.withColumn("words", words_of(F.col("kept"))).withColumn("indexed", indexed)
     places = _phrase_places(F.col("words"), F.col("indexed"))
-    columns = [F.col(c) for c in ("words", "indexed", "anchors")]
-    scores = [_notice_score(*columns, idf, key, notice.split()) for _, key, notice in NOTICES]
+    scores = [_notice_score(F.col("words"), F.col("indexed"), idf, key, notice.split()) for _, key, notice in NOTICES]
     by_label = F.struct(*[p.alias(label) for label, p in places.items()])
     matched = words.select("id", "n_words", by_label.alias("places"), F.array(*scores).alias("scores"))
     base = F.array_compact(F.array(*[F.when(F.size(F.col("places")[label]) > 0, label) for label in places]))

@@ -257,6 +257,18 @@ def test_notices_are_placed_and_need_their_key_phrase(spark):
     assert found[8][1] == ""
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    vocabulary = " ".join(license_scan._vocabulary())
+    texts, expected = {}, {}
+    for n, (label, _, notice) in enumerate(license_scan.NOTICES):
+        for m, (other, _, second) in enumerate(license_scan.NOTICES):
+            texts[n * 100 + m], expected[n * 100 + m] = f"x {notice} z {second} y", {label, other}
+        texts[10_000 + n], expected[10_000 + n] = f"{vocabulary} . {notice} . {vocabulary}", {label}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for row in license_scan.scan(frame).collect():
+        assert expected[row.doc_id] <= set(row.labels.split(",")), (row.doc_id, row.labels)
+
+
 def test_url_parts_and_rules_equal_brute_force(spark):
     pages = {r[0]: r[1] for r in table("pages")}
     extra = ["HTTP://WWW.Example.COM/en/x?y#z", "x://net/es/", "x://a.net/fr", "x://net/fr/", "x://notnet/es/", "a://b://c/d", "x://com", "x://com/?", "://é.COM/", None, "plain", "x://www.example.com/en/", "x://q.example.com/en/1"]
