@@ -26,7 +26,7 @@ RULES = (
 )
 
 # The small labelled table that the registered query learns from: names of sites, put into
-# a few usual addresses by `labelled_urls`.
+# the hosts and the paths of a few usual addresses by `labelled_urls`.
 UNWANTED = (
     "adult-x adult-cams xxx-video porn-tube hot-singles casino-win casino-royal free-bets sport-bets "
     "lucky-slots poker-cash cheap-pills pharma-sale diet-pills replica-watch spam-farm link-farm "
@@ -35,8 +35,9 @@ UNWANTED = (
 WANTED = (
     "news library docs wiki archive school museum weather science history travel recipes garden "
     "music gazette courier review research university hospital council railway theatre chess "
-    "nature physics poetry kitchen village harbour thread method earth other within third "
-    "nation station tension handle inner shelter reading stone orange letter"
+    "nature physics poetry kitchen village harbour mountain river forest bakery cinema painting "
+    "football cycling biology geology economics parliament cathedral mathematics insurance "
+    "contact about products support calendar members gallery download"
 ).split()
 _ADDRESSES = (
     "https://{}.example.net/en/1042",
@@ -44,11 +45,23 @@ _ADDRESSES = (
     "https://blog.{}.example.net/2021/post?page=2",
     "http://m.{}.example.org/",
 )
+# Hosts that say nothing, as the names of either kind stand in their paths.
+_PATHS = (
+    "https://blog.pages.example.org/{}",
+    "http://www.pages.example.net/en/{}/1042",
+    "https://m.pages.example.net/2021/{}.html",
+    "http://pages.example.org/{}/{}/?page=2",
+)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): 1 for addresses to block."""
-    rows = [(a.format(n), float(label)) for label, names in ((1, UNWANTED), (0, WANTED)) for n in names for a in _ADDRESSES]
+    rows = [
+        (a.format(n, names[at - 1]), float(label))
+        for label, names in ((1, UNWANTED), (0, WANTED))
+        for at, n in enumerate(names)
+        for a in _ADDRESSES + _PATHS
+    ]
     return spark.createDataFrame(rows, "url string, label double")
 
 

@@ -296,3 +296,14 @@ def test_unseen_addresses_of_unwanted_kinds_are_blocked(spark):
             "https://nature-museum.example.org/en/3": "allow", "http://www.thorning.example.net/en/55.html": "allow"}
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.verdict for r in url_filter.judge(frame, model, rules=()).collect()} == urls
+
+
+def test_unseen_unwanted_paths_are_blocked_on_any_host(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = {"https://blog.foo.org/casino-win/xxx-video": "block", "https://www.acme.org/en/online-casino/7": "block",
+            "http://m.some.net/porn-videos.html": "block", "https://blog.foo.org/2021/cheap-diet-pills/": "block",
+            "https://blog.foo.org/science-museum/history": "allow", "https://www.acme.org/en/7": "allow",
+            "http://m.some.net/weather-research.html": "allow", "https://blog.foo.org/2021/garden/recipes/": "allow",
+            "https://www.acme.org/": "allow", "http://m.some.net/de/1373.html": "allow"}
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.verdict for r in url_filter.judge(frame, model, rules=()).collect()} == urls
