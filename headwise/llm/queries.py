@@ -13,6 +13,7 @@ from headwise.llm import (
     exact_dedup,
     language,
     license_scan,
+    line_dedup,
     mixing,
     simhash,
     token_output,
@@ -94,6 +95,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     registered = (
         op1_token_output,
@@ -106,12 +112,13 @@ def queries() -> dict[str, Query]:
         op8_url_filter,
         op9_chat_format,
         op10_license_scan,
+        op11_line_dedup,
     )
     return {query.__name__: query for query in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _EXACT, "op7_mixing": _MIXING}
+    return {"op6_exact_dedup": _EXACT, "op7_mixing": _MIXING, "op11_line_dedup": _LINES}
 
 
 _EXACT = r"""
@@ -159,3 +166,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+_LINES = r"""
+WITH l AS (
+  SELECT doc_id, nth, parts[nth] AS line,
+         translate(regexp_replace(parts[nth], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS nth
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), k AS (
+  SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(k.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE k.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN k USING (key) GROUP BY doc_id
+"""
