@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.llm import (
+    alignment,
     chat,
     decontamination,
     exact_dedup,
@@ -100,6 +101,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as known
+
+    return alignment.compare_tokenizers(
+        documents(spark, sf_dir), known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model")
+    )
+
+
 def queries() -> dict[str, Query]:
     registered = (
         op1_token_output,
@@ -113,6 +122,7 @@ def queries() -> dict[str, Query]:
         op9_chat_format,
         op10_license_scan,
         op11_line_dedup,
+        op13_alignment,
     )
     return {query.__name__: query for query in registered}
 
