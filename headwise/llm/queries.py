@@ -16,6 +16,7 @@ from headwise.llm import (
     license_scan,
     line_dedup,
     mixing,
+    prefix_trie,
     simhash,
     token_output,
     toxicity,
@@ -101,6 +102,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as known
 
@@ -122,13 +127,14 @@ def queries() -> dict[str, Query]:
         op9_chat_format,
         op10_license_scan,
         op11_line_dedup,
+        op12_prefix_trie,
         op13_alignment,
     )
     return {query.__name__: query for query in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _EXACT, "op7_mixing": _MIXING, "op11_line_dedup": _LINES}
+    return {"op6_exact_dedup": _EXACT, "op7_mixing": _MIXING, "op11_line_dedup": _LINES, "op12_prefix_trie": _TRIE}
 
 
 _EXACT = r"""
@@ -191,3 +197,46 @@ SELECT doc_id, count(*) AS n_lines, count(k.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE k.key IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN k USING (key) GROUP BY doc_id
 """
+
+_TRIE = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda s, i: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT convs.c, place, role, text FROM convs JOIN t ON t.c = base AND place <= h
+  UNION ALL
+  SELECT convs.c, place + 10, role, text FROM convs JOIN t ON t.c = convs.c AND place > h
+), p AS (
+  SELECT c, row_number() OVER w AS depth, length(text) AS points,
+         md5(string_agg(md5(role) || md5(text), '' ORDER BY place) OVER w) AS node
+  FROM r WINDOW w AS (PARTITION BY c ORDER BY place)
+), m AS (
+  SELECT c, depth, points, node, lag(node, 1, 'root') OVER (PARTITION BY c ORDER BY depth) AS above,
+         depth = max(depth) OVER (PARTITION BY c) AS ends
+  FROM p
+  UNION ALL
+  SELECT c, 0, 0, 'root', NULL, c NOT IN (SELECT c FROM p) FROM convs
+), n AS (
+  SELECT node, any_value(depth) AS depth, any_value(above) AS above, any_value(points) AS points, min(c) AS conv_id,
+         count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY node
+), kids AS (
+  SELECT above AS node, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above
+), under AS (
+  SELECT DISTINCT a.node AS top, b.node FROM m a JOIN m b ON a.c = b.c AND b.depth >= a.depth
+), sums AS (
+  SELECT top AS node, count(*) FILTER (WHERE kids.node IS NULL) AS n_leaves,
+         sum((n_convs - 1) * points)::BIGINT AS saved_tokens
+  FROM under JOIN n ON n.node = under.node LEFT JOIN kids ON kids.node = under.node GROUP BY top
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM n JOIN sums ON sums.node = n.node LEFT JOIN kids ON kids.node = n.node LEFT JOIN n up ON up.node = n.above
+"""
