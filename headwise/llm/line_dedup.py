@@ -320,7 +320,9 @@ def drop_repeated_lines(
     if keep_first:
         places = places.where((F.col("at.row") != F.col("first.row")) | (F.col("at.line") != F.col("first.line")))
     lists = places.groupBy(F.col("at.row").alias(row)).agg(F.collect_list("at.line").alias(gone))
-    every = numbered.join(materialise(lists, f"{folder}/dropped"), row, "left").select(*docs.columns, gone)
+    # Joined the same way at every size: the lists grow with the documents.
+    dropped_lines = materialise(lists, f"{folder}/dropped").hint("merge")
+    every = numbered.join(dropped_lines, row, "left").select(*docs.columns, gone)
     schema = T.StructType(
         [
             *(T.StructField(f.name, f.dataType, f.nullable or f.name == text) for f in docs.schema),
