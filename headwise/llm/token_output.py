@@ -42,13 +42,19 @@ _SHARDS = "shard int, n_docs long, n_tokens long"
 
 
 class PieceTable:
-    """Open addressing from two 64-bit hashes to a small number, for whole arrays at once."""
+    """Open addressing from two 64-bit hashes to a small number, for whole arrays at once.
 
-    def __init__(self, bits: int = 21) -> None:
+    At most half of the slots are taken: the table doubles before keys that would take more.
+    """
+
+    def __init__(self, bits: int = 16) -> None:
+        self.size = 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
         self._mask = np.uint64((1 << bits) - 1)
         self._keys = np.zeros((2, 1 << bits), np.uint64)
         self._values = np.full(1 << bits, -1, np.int32)
-        self.size = 0
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The numbers of keys, -1 for those not held."""
@@ -64,15 +70,22 @@ class PieceTable:
 
     def add(self, first: np.ndarray, second: np.ndarray) -> None:
         """Number different new keys from `size` on."""
+        if 2 * (self.size + len(first)) > len(self._values):
+            taken = np.flatnonzero(self._values >= 0)
+            held, numbers = self._keys[:, taken], self._values[taken]
+            self._clear((2 * (self.size + len(first)) - 1).bit_length())
+            self._place(*held, numbers)
+        self._place(first, second, np.arange(self.size, self.size + len(first), dtype=np.int32))
+        self.size += len(first)
+
+    def _place(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
         rows, at = np.arange(len(first)), first & self._mask
-        numbers = (self.size + rows).astype(np.int32)
         while len(rows):
             free = self._values[at] < 0
             self._values[at[free]] = numbers[rows[free]]
             won = self._values[at] == numbers[rows]
             self._keys[0][at[won]], self._keys[1][at[won]] = first[rows[won]], second[rows[won]]
             rows, at = rows[~won], (at[~won] + np.uint64(1)) & self._mask
-        self.size += len(first)
 
 
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
@@ -166,9 +179,21 @@ class WordEncoder:
             found = [self._whole(t) if t else [] for t in texts.to_pylist()]
             counts = np.array([len(f) for f in found], np.int64)
             return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
-        parts = [self._encode(data, bounds) for _, data, bounds in byte_chunks(texts, SLICE_BYTES)]
+        parts = [self._encode_slice(data, bounds) for _, data, bounds in byte_chunks(texts, SLICE_BYTES)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
+    def _encode_slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `_encode`; a text longer than a slice is cut at white space, so that no piece is."""
+        if len(bounds) != 2 or len(data) <= SLICE_BYTES:
+            return self._encode(data, bounds)
+        spaces, at, ids = np.flatnonzero(self._kinds[data] == _SPACE), 0, []
+        while at < len(data):
+            near = int(np.searchsorted(spaces, at + SLICE_BYTES))
+            upto = int(spaces[near]) if near < len(spaces) else len(data)
+            ids.append(self._encode(data[at:upto], np.array([0, upto - at]))[0])
+            at = upto
+        return np.concatenate(ids), np.array([sum(map(len, ids))])
+
     def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self._table.size > REMEMBERED:
             self._forget()

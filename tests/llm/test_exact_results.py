@@ -76,6 +76,34 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert first[0].tolist() == second[0].tolist() and first[1].tolist() == second[1].tolist()
 
 
+def test_a_text_of_three_million_different_words(monkeypatch):
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    numbers = np.arange(3_000_000)
+    words = ["".join(w) for w in letters[numbers[:, None] // 20 ** np.arange(6) % 20]]
+    expected = Tokenizer.from_file(queries.tokenizer_path()).encode(" ".join(words), add_special_tokens=False).ids
+    monkeypatch.setattr(token_output, "REMEMBERED", 10_000_000)  # never emptied
+    ids, counts = token_output.WordEncoder(queries.tokenizer_path()).encode(pa.array([" ".join(words), "a b"]))
+    assert ids[: counts[0]].tolist() == expected and len(counts) == 2
+
+
+def test_a_long_text_is_encoded_in_slices(monkeypatch):
+    monkeypatch.setattr(token_output, "SLICE_BYTES", 50)
+    monkeypatch.setattr(token_output, "REMEMBERED", 3)
+    texts = ["short", "Some words, " * 40 + "x" * 120 + " end " * 30, None, "tail " * 20]
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    ids, counts = token_output.WordEncoder(queries.tokenizer_path()).encode(pa.array(texts))
+    own = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, own)) and ids.tolist() == sum(own, [])
+
+
+def test_the_piece_table_grows():
+    draw = np.random.default_rng(3)
+    table, keys = token_output.PieceTable(bits=4), draw.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+    for at in range(0, 5000, 17):
+        table.add(*keys[:, at : at + 17])
+    assert table.find(*keys).tolist() == list(range(5000)) and table.find(keys[1], keys[0]).max() == -1
+
+
 def test_sequences_by_random_access(spark, tmp_path):
     frame = spark.createDataFrame([(i, "word " * (i * 37 % 101)) for i in range(60)], "doc_id long, text string")
     folder = f"{tmp_path}/tokens"
