@@ -6,9 +6,11 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,15 @@ from headwise.session import materialise, scratch_path
 BLOCK_BYTES = 1 << 20
 #: A pair is one number: B's id in the upper bits, A's in the lower.
 _A_BITS = 32
+#: Words whose ids a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 1_000_000
+
+# How a byte-level BPE cuts texts into words: a fixed pattern.
+_WORDS = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+# Characters about which all regular expression libraries agree; a text with others is encoded whole.
+_AGREED = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
 
 _TEXTS = "array<struct<key: binary, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string, upto: long>>"
 _BLOCKS = f"block long, pairs array<long>, weights array<long>, texts {_TEXTS}, at binary, times binary"
@@ -51,9 +62,21 @@ class Cutter:
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def gives_back(self, ids: list[list[int]], texts: list[bytes]) -> bool:
+        """Whether the tokens of every text are the text."""
+        flat = list(chain.from_iterable(ids))
+        ends = np.concatenate([[0], np.cumsum(self.lengths[flat])]).astype(np.int64)
+        alike = ends[np.cumsum(list(map(len, ids)))] == np.cumsum(list(map(len, texts)))
+        return bool(alike.all()) and self.joined(flat) == b"".join(texts)
+
 
 class ByteLevel(Cutter):
-    """A byte-level BPE of the tokenizers library, over a space and the text; special tokens are plain text."""
+    """A byte-level BPE of the tokenizers library, over a space and the text; special tokens are plain text.
+
+    Such a tokenizer merges bytes within words only, so a text's ids are its words' ids one after another, and each
+    different word is encoded once. Whether it cuts into words as the pattern does is
+    tried on the tokenizer; if not, texts are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -66,10 +89,28 @@ class ByteLevel(Cutter):
         for entry, id in entries.items():
             self.tokens[id] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         self._ready()
+        self._known: dict[str, list[int]] = {}
+        sample = "I'll  say: \n\n 'naïve' x2,3 -- they've 10\t%  of it’s <|endoftext|>... "
+        self._letters = {b: c for c, b in alphabet.items()}
+        self._by_word = self._whole([sample])[0] == [i for word in _WORDS.findall(sample) for i in self._word(word)]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        spelt = word.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._tokenizer.model.tokenize(spelt)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self._tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        if len(self._known) > REMEMBERED:
+            self._known = {}
+        known, spaced = self._known, [" " + t for t in texts]
+        words = [_WORDS.findall(t) if self._by_word and _AGREED.fullmatch(t) else None for t in spaced]
+        known.update({w: self._word(w) for w in {w for own in words if own for w in own if w not in known}})
+        return [
+            self._whole([t])[0] if own is None else list(chain.from_iterable(map(known.__getitem__, own)))
+            for t, own in zip(spaced, words)
+        ]
 
 
 class Pieces(Cutter):
@@ -97,27 +138,36 @@ def cutters(path_a: str, path_b: str) -> tuple[Cutter, Cutter]:
 
 
 @lru_cache
-def _printed(count: int, end: str) -> np.ndarray:
-    return np.array([f"{i}{end}".encode() for i in range(count)], object)
+def _printed(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in decimal as rows of bytes, how many bytes of a row count); a row has room for a mark."""
+    width = len(str(count)) + 1
+    rows = np.array([str(i).encode() for i in range(count)], f"S{width}").view(np.uint8).reshape(count, width)
+    return rows, (rows != 0).sum(axis=1)
 
 
 class Alignment:
     """Groups and links of a block of texts, one text after another.
 
-    `ids` and `ends` are both sides' tokens and the byte after each, counted through all texts; both
-    sides end at the same byte of every text, so no group or link reaches over texts.
+    Both sides' tokens are laid out over the bytes of all texts. Both end at the last byte of every text, so no
+    group or link reaches over texts.
     """
 
     def __init__(self, a: Cutter, b: Cutter, ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
         self._sides = []
         for cutter, ids in ((a, ids_a), (b, ids_b)):
-            counts = np.array([len(i) for i in ids], np.int64)
-            flat = np.fromiter((i for own in ids for i in own), np.int64, int(counts.sum()))
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
             self._sides.append((cutter, counts, flat, np.cumsum(cutter.lengths[flat])))
-        (_, self.n_a, _, self._ends_a), (_, self.n_b, _, self._ends_b) = self._sides
-        self._common = np.intersect1d(self._ends_a, self._ends_b, assume_unique=True)
+        (_, self.n_a, _, ends_a), (_, self.n_b, _, ends_b) = self._sides
+        size = int(ends_a[-1]) if len(ends_a) else 0
+        self._closed = np.zeros((2, size + 1), bool)  # whether a token of the side ends at this byte
+        self._closed[0, ends_a] = self._closed[1, ends_b] = True
+        self._before = np.cumsum(self._closed, axis=1) - self._closed  # tokens of the side that end before
+        both = self._closed[0] & self._closed[1]
+        self._group = np.cumsum(both) - both  # the group that this byte's token belongs to
+        self._common = np.flatnonzero(both)
         last = np.cumsum(self.n_a) - 1
-        self._text_ends = np.where(last >= 0, self._ends_a[np.maximum(last, 0)], 0) if len(self._ends_a) else last * 0
+        self._text_ends = np.where(last >= 0, ends_a[np.maximum(last, 0)], 0) if size else last * 0
         self.n_groups = self._per_text(self._common)
 
     def _per_text(self, ends: np.ndarray) -> np.ndarray:
@@ -126,37 +176,47 @@ class Alignment:
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """(A's id, B's id) of all overlapping token occurrences, text by text: one for each stretch
         between neighbouring ends of either side, since two tokens overlap in one stretch."""
-        stretch = np.union1d(self._ends_a, self._ends_b)
+        stretch = np.flatnonzero(self._closed[0] | self._closed[1])
         self.n_links = self._per_text(stretch)
-        return tuple(ids[np.searchsorted(ends, stretch)] for _, _, ids, ends in self._sides)
+        return tuple(ids[before[stretch]] for (_, _, ids, _), before in zip(self._sides, self._before))
 
     def group_digests(self) -> list[str]:
         """SHA-256 of `a1,a2|b1;a3|b2,b3` per text; empty text where there are no tokens."""
-        group = [np.searchsorted(self._common, ends) for _, _, _, ends in self._sides]
-        closes = [ends == self._common[g] for (_, _, _, ends), g in zip(self._sides, group)]
-        started = np.concatenate([[0], np.searchsorted(self._ends_b, self._common, "right")])
-        passed = np.searchsorted(self._ends_a, self._common, "right")
-        place = [np.arange(len(group[0])) + started[group[0]], np.arange(len(group[1])) + passed[group[1]]]
-        words = np.empty(len(group[0]) + len(group[1]), object)
-        for (cutter, _, ids, _), at, closing, mark in zip(self._sides, place, closes, "|;"):
-            size = len(cutter.tokens)
-            words[at] = np.where(closing, _printed(size, mark)[ids], _printed(size, ",")[ids])
-        upto = np.cumsum(self.n_a + self.n_b).tolist()
-        spans = zip([0, *upto], upto)
-        return [hashlib.sha256(b"".join(words[a:b])[:-1]).hexdigest() if b > a else "" for a, b in spans]
+        total = int(self.n_a.sum() + self.n_b.sum())
+        parts = []
+        started = np.concatenate([[0], self._before[1][self._common] + 1])  # B's tokens before each group
+        passed = self._before[0][self._common] + 1  # A's tokens up to the end of each group
+        width = max(_printed(len(c.tokens))[0].shape[1] for c, *_ in self._sides)
+        cells, lengths = np.zeros((total, width), np.uint8), np.zeros(total, np.int64)
+        for (cutter, _, ids, ends), beside, mark in zip(self._sides, (started, passed), b"|;"):
+            group = self._group[ends]
+            place = np.arange(len(ids)) + beside[group]
+            printed, digits = _printed(len(cutter.tokens))
+            own, many = printed[ids], digits[ids]
+            own[np.arange(len(ids)), many] = np.where(self._closed.all(axis=0)[ends], mark, ord(","))
+            cells[place, : own.shape[1]] = own
+            lengths[place] = many + 1
+        flat = cells[np.arange(width) < lengths[:, None]].tobytes()
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(self.n_a + self.n_b)].tolist()
+        for low, high in zip([0, *upto], upto):
+            parts.append(hashlib.sha256(flat[low : high - 1]).hexdigest() if high > low else "")
+        return parts
 
 
 def aligned_block(texts: list[str], copies: np.ndarray, a: Cutter, b: Cutter) -> dict:
-    """A block's texts and links: different pairs, their weighted counts, and each text's own pairs.
+    """A block's texts (none empty) and links: different pairs, their weighted counts, and each text's own pairs.
 
     `at` and `times` (32-bit numbers) say for one text after another which of the block's pairs it
     has and how often, up to the text's `upto`.
     """
     found = [a.encode(texts), b.encode(texts)]
-    for n, text in enumerate(texts):
-        whole = b" " + text.encode()
-        if not text or a.joined(found[0][n]) != whole or b.joined(found[1][n]) != whole:
-            found[0][n] = found[1][n] = []
+    spaced = [b" " + text.encode() for text in texts]
+    for side, ids in zip((a, b), found):
+        if not side.gives_back(ids, spaced):
+            for n, whole in enumerate(spaced):
+                if side.joined(ids[n]) != whole:
+                    found[0][n] = found[1][n] = []
+                    spaced[n] = b""
     aligned = Alignment(a, b, *found)
     link_a, link_b = aligned.links()
     pairs, which = np.unique((link_b << _A_BITS) | link_a, return_inverse=True)
