@@ -80,7 +80,8 @@ _part("routes")("""
 
 _part("stops")("""
     SELECT CAST(p_partkey % 40 AS VARCHAR) AS stop_id,
-           CASE p_partkey % 40 WHEN 19 THEN '' ELSE p_name END AS stop_name,
+           CASE WHEN p_partkey % 40 = 19 THEN '' WHEN p_partkey % 5 = 3 THEN '  ' || p_name || chr(10) || 'bay "B", '
+                ELSE p_name END AS stop_name,
            CASE p_partkey % 40 WHEN 18 THEN 'n/a' ELSE printf('%.2f', 47.5 + p_partkey / 100.0) END AS stop_lat,
            printf('%.2f', -122.3 + p_partkey / 100.0) AS stop_lon
     FROM part
@@ -344,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
             CASE stop_lat WHEN 'n/a' THEN '' ELSE stop_lat END, stop_lon FROM stops
         UNION ALL SELECT 'trips', trip_id, trip_headsign, direction_id, route_id || '/' || service_id FROM trips
         UNION ALL SELECT 'stop_times', trip_id, stop_id, arrival_time, stop_sequence FROM stop_times
+        UNION ALL SELECT 'agency', 'America/Los_Angeles', 'America', 'Los_Angeles', ''
         """,
         "routes", "stops", "trips", "stop_times",
     )
@@ -357,6 +359,13 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {_UPDATE} FROM update_target UNION ALL SELECT {_UPDATE} FROM new_updates", "new_updates"
     )
     sql["stream_ingest_updates"] = _with(f"SELECT {_UPDATE} FROM update_batch", "update_batch")
+    sql["rejected_lines"] = """
+        SELECT unnest(['{"entity_index": ' || event_id, '{"entity_index": ' || event_id || ', "vehicle": {"timestamp": "soon"}}',
+                       '[' || event_id || ']']) AS line,
+               unnest(['no JSON', 'not as declared: vehicle', 'no object as declared']) AS reason,
+               1::BIGINT AS times, 1::BIGINT AS with_file, 1::BIGINT AS batches
+        FROM events WHERE event_id % 50 = 7
+    """
     sql["latest_positions"] = _with(
         """SELECT vehicle_id, trip_id, latitude, longitude, logged_at FROM vehicle_positions
            ORDER BY logged_at DESC, entity_index DESC LIMIT 2""",

@@ -106,7 +106,10 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     hundredths = F.col("part") / F.lit(100.0)
     return places.select(
         F.col("stop").cast("string").alias("stop_id"),
-        F.when(F.col("stop") == 19, "").otherwise(F.col("name")).alias("stop_name"),
+        F.when(F.col("stop") == 19, "")
+        .when(F.col("stop") % 5 == 3, F.concat(F.lit("  "), F.col("name"), F.lit('\nbay "B", ')))
+        .otherwise(F.col("name"))
+        .alias("stop_name"),
         F.when(F.col("stop") == 18, "n/a")
         .otherwise(F.format_string("%.2f", F.lit(47.5) + hundredths))
         .alias("stop_lat"),

@@ -48,24 +48,62 @@ def utc_hour(epoch: Column) -> Column:
     return F.concat(F.lpad(F.floor(F.pmod(epoch, F.lit(86_400)) / 3600).cast("string"), 2, "0"), F.lit(":00"))
 
 
+#: The instants between which a zone's changes are looked for; beyond them its last or first rules hold.
+_EARLIEST, _LATEST = (int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp()) for year in (1900, 2100))
+
+
 @lru_cache(maxsize=None)
-def _abbreviations(zone: str) -> dict[int, str]:
-    """UTC offset in seconds to the name the zone uses for it (the latest one wins)."""
+def transitions(zone: str) -> list[tuple[int, int, str]]:
+    """(from which epoch second on, UTC offset in seconds, name) of every change of a zone, in order.
+
+    Found by looking every ten days and halving the time between two unlike looks to the second.
+    """
     info = ZoneInfo(zone)
-    names: dict[int, str] = {}
-    for year in range(1970, 2038):
-        for month in range(1, 13):
-            moment = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(info)
-            names[int(moment.utcoffset().total_seconds())] = moment.tzname()
-    return names
+
+    def state(epoch: int) -> tuple[int, str]:
+        moment = datetime.fromtimestamp(epoch, timezone.utc).astimezone(info)
+        return int(moment.utcoffset().total_seconds()), moment.tzname()
+
+    found = [(_EARLIEST, *state(_EARLIEST))]
+    for look in range(_EARLIEST, _LATEST, 10 * 86_400):
+        now = state(look)
+        while found[-1][1:] != now:  # more than one change since the look before
+            low, high = max(found[-1][0], look - 10 * 86_400), look
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if state(middle) == found[-1][1:] else (low, middle)
+            found.append((high, *state(high)))
+    return found
+
+
+@lru_cache(maxsize=None)
+def _eras(zone: str) -> list[tuple[int, dict[int, str]]]:
+    """(from which epoch second on, UTC offset to name): stretches of time in which an offset has one name."""
+    eras: list[tuple[int, dict[int, str]]] = []
+    for start, offset, name in transitions(zone):
+        if not eras or eras[-1][1].get(offset, name) != name:
+            eras.append((start, {}))
+        eras[-1][1][offset] = name
+    return eras
 
 
 def local_text(epoch: Column, zone: str) -> Column:
-    """`YYYY-MM-DD HH:MM:SS ABC`, ABC being the zone's abbreviation at that instant."""
+    """`YYYY-MM-DD HH:MM:SS ABC`, ABC being the zone's name at that instant.
+
+    The name follows from the era the instant is in and its UTC offset there.
+    """
     local = local_timestamp(epoch, zone)
-    name = F.lit("")
-    for seconds, abbreviation in sorted(_abbreviations(zone).items()):
-        name = F.when(local == _utc(epoch + seconds), F.lit(f" {abbreviation}")).otherwise(name)
+    eras = _eras(zone)
+
+    def named(era: dict[int, str]) -> Column:
+        name = F.lit("")
+        for seconds, abbreviation in sorted(era.items()):
+            name = F.when(local == _utc(epoch + seconds), F.lit(f" {abbreviation}")).otherwise(name)
+        return name
+
+    name = named(eras[0][1])
+    for start, era in eras[1:]:
+        name = F.when(epoch >= start, named(era)).otherwise(name)
     return F.concat(F.substring(local.cast("string"), 1, 19), name)
 
 

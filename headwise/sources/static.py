@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from headwise.sources.delimited import read_delimited
+
 # Columns read from each file: fixed values.
 COLUMNS = {
     "agency": ["agency_timezone"],
@@ -92,8 +94,7 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def _header(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{table}.txt")
-    return raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
+    return read_delimited(spark, f"{folder.rstrip('/')}/{table}.txt")
 
 
 def _cells(raw: DataFrame, table: str, columns: list[str]) -> DataFrame:

@@ -1,8 +1,12 @@
+import random
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
+
 import pytest
 from pyspark.sql import functions as F
 
 from headwise.config import FixedConfig, ScheduledConfig
-from headwise.functions import blank_to_null, clock_seconds, label_or_id, local_text, to_number, zero_to_null
+from headwise.functions import blank_to_null, clock, clock_seconds, label_or_id, local_text, to_number, zero_to_null
 
 
 def values(spark, cells, kind, expression):
@@ -63,3 +67,22 @@ def test_config_defaults():
     assert (config.threshold_ratio, config.min_bunch_seconds, config.max_bunch_seconds) == (0.25, 120, 600)
     assert (config.fallback_headway_seconds, config.max_scheduled_headway_seconds) == (1800, 14400)
     assert FixedConfig().threshold_seconds == 120
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "America/Chihuahua", "Europe/Moscow", "Africa/Casablanca", "Australia/Lord_Howe", "Pacific/Apia", "UTC"])
+def test_zone_names_are_those_of_the_instant(spark, zone):
+    """Around every change of the zone, and at random instants in between."""
+    changes = [start for start, _, _ in clock.transitions(zone) if start > 0 and start < 2_400_000_000]
+    draw = random.Random(zone)
+    instants = sorted({c + d for c in changes for d in (-1, 0, 1)} | {draw.randrange(2_400_000_000) for _ in range(300)})
+    frame = spark.createDataFrame([(i,) for i in instants], "epoch long")
+    found = {r.epoch: r.text for r in frame.select("epoch", clock.local_text(F.col("epoch"), zone).alias("text")).collect()}
+    for instant in instants:
+        moment = datetime.fromtimestamp(instant, timezone.utc).astimezone(ZoneInfo(zone))
+        assert found[instant] == f"{moment:%Y-%m-%d %H:%M:%S} {moment.tzname()}"
+
+
+def test_names_that_zones_no_longer_use(spark):
+    rows = [("America/Chihuahua", 1_625_140_800, "2021-07-01 06:00:00 MDT"), ("Europe/Moscow", 1_246_449_600, "2009-07-01 16:00:00 MSD")]
+    for zone, instant, text in rows:
+        assert spark.range(1).select(clock.local_text(F.lit(instant), zone)).first()[0] == text

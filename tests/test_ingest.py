@@ -7,9 +7,11 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from headwise import session
 from headwise.plans.ingest import ingest
 from headwise.schemas import FEED_ENTITY, FEED_MESSAGE
 from headwise.sources import feeds, tables
+from headwise.streaming import ingest as streaming
 from headwise.streaming.ingest import ingest_feeds, stream_ingest
 from tests.micro import T0, rows
 
@@ -153,27 +155,27 @@ def test_the_session_zone_does_not_move_a_key(spark, schema, scratch):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_compaction_leaves_one_partition_a_date_and_replays_add_nothing(spark, schema, scratch, monkeypatch):
-    days = [date(1970, 1, 1) + timedelta(days=T0 // 86_400 + d) for d in range(2)]
+def many_batches(spark, schema, scratch):
+    """Three batches on two dates, and the frames they came from."""
     frames = [
         feed(spark, *snapshot(trip(str(n), (("A", 1), ("", 2)), T0), trip(str(n), stamp=T0 + 86_400), logged=n), scratch=scratch)
         for n in range(3)
     ]
-    name = f"{schema}.stop_time_updates"
-    partitions = lambda: [r[0].split("/")[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
     for number, frame in enumerate(frames):
         insert(spark, schema, frame, str(number))
+    return frames, [date(1970, 1, 1) + timedelta(days=T0 // 86_400 + d) for d in range(2)]
+
+
+def partitions(spark, schema):
+    return [r[0].split("/")[0] for r in spark.sql(f"SHOW PARTITIONS {schema}.stop_time_updates").collect()]
+
+
+def test_compaction_leaves_one_partition_a_date_and_replays_add_nothing(spark, schema, scratch):
+    frames, days = many_batches(spark, schema, scratch)
     before = stored(spark, schema)
-    assert len(partitions()) == 6
-    # A crash between writing and dropping: rows are in both until the next run finishes.
-    sql = spark.sql
-    with monkeypatch.context() as crash:
-        crash.setattr(type(spark), "sql", lambda self, text, *a: 1 / 0 if text.startswith("ALTER") else sql(text, *a))
-        with pytest.raises(ZeroDivisionError):
-            tables.compact(spark, schema, tables.STOP_UPDATES, days)
-    assert len(stored(spark, schema)) == 2 * len(before)
+    assert len(partitions(spark, schema)) == 6
     assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 6
-    assert sorted(partitions()) == sorted(f"key_date={d}" for d in days)
+    assert sorted(partitions(spark, schema)) == sorted(f"key_date={d}" for d in days)
     assert stored(spark, schema) == before
     for number, frame in enumerate(frames):
         assert insert(spark, schema, frame, str(number))["new"] == 0
@@ -186,6 +188,76 @@ def test_compaction_leaves_one_partition_a_date_and_replays_add_nothing(spark, s
         insert(spark, schema, feed(spark, *snapshot(trip("other")), scratch=scratch), "1")
 
 
+STEPS = ["begun", "written", "listed", "dropped", "finished"]
+
+
+@pytest.mark.parametrize("stopped_after", STEPS[:-1])
+def test_readers_see_every_row_once_whatever_happens_to_a_compaction(spark, schema, scratch, stopped_after):
+    """A read after every step, a run stopped after one of them, a late batch, a replay, the next run."""
+    frames, days = many_batches(spark, schema, scratch)
+    before, taken = stored(spark, schema), []
+    for step, _ in tables.compaction_steps(spark, schema, tables.STOP_UPDATES, days):
+        taken.append(step)
+        assert stored(spark, schema) == before, step
+        if step == stopped_after:
+            break
+    assert taken == STEPS[: STEPS.index(stopped_after) + 1]
+    assert insert(spark, schema, frames[1], "1")["new"] in (0, 3)  # a replay, of a listed batch or one that isn't
+    assert stored(spark, schema) == before
+    insert(spark, schema, feed(spark, *snapshot(trip("late")), scratch=scratch), "late")
+    after = stored(spark, schema)
+    assert len(after) == len(before) + 1
+    for step, _ in tables.compaction_steps(spark, schema, tables.STOP_UPDATES, days):
+        assert stored(spark, schema) == after, step
+    assert sorted(partitions(spark, schema)) == sorted(f"key_date={d}" for d in days)
+    assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 0
+
+
+def test_hidden_partitions_are_not_scanned(spark, schema, scratch):
+    _, days = many_batches(spark, schema, scratch)
+    steps = tables.compaction_steps(spark, schema, tables.STOP_UPDATES, days)
+    while next(steps)[0] != "listed":
+        pass
+    frame = tables.read_observations(spark, f"{schema}.stop_time_updates")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PartitionFilters: [" in plan and "batch_id" in plan.split("PartitionFilters")[1]
+    read = {row[0].split("batch_id=")[1].split("/")[0] for row in frame.select(F.input_file_name()).distinct().collect()}
+    assert read and all(batch.startswith("compacted-") for batch in read)
+
+
+def test_nothing_is_left_in_scratch(spark, schema, scratch, monkeypatch):
+    """After inserts, compaction and a failed insert."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"{scratch}/shared")
+    frames, days = many_batches(spark, schema, scratch)
+    tables.compact(spark, schema, tables.STOP_UPDATES, days)
+    with pytest.raises(ValueError):
+        insert(spark, schema, feed(spark, *snapshot(trip("other")), scratch=scratch), "1")
+    left = os.listdir(f"{scratch}/shared")
+    assert [name for name in left if not name.startswith(".")] == []
+
+
+def test_scratch_of_a_block_goes_with_it_and_orphans_are_swept_by_age(spark, scratch, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"{scratch}/shared")
+    with session.scratch(spark, "outer") as outer:
+        inner = session.scratch_path(spark, "inner")
+        assert inner.startswith(outer + "/inner-")
+        assert session.materialise(spark.range(3), inner).count() == 3
+    with pytest.raises(ZeroDivisionError), session.scratch(spark, "fails") as failed:
+        session.materialise(spark.range(3), f"{failed}/rows").where(1 / 0)
+    assert os.listdir(f"{scratch}/shared") == []
+    old, new, foreign = (session.scratch_path(spark, n) for n in ("old", "new", "x"))
+    foreign = f"{scratch}/shared/not-ours"
+    for folder in (old, new, foreign):
+        session.materialise(spark.range(1), f"{folder}/rows")
+    for folder in (old, foreign):
+        for where, _, files in os.walk(folder, topdown=False):
+            for entry in [*(f"{where}/{f}" for f in files), where]:
+                os.utime(entry, (T0, T0))
+    os.utime(new, (T0, T0))  # something in it is young
+    assert session.sweep_scratch(spark, 24) == [os.path.basename(old)]
+    assert sorted(os.listdir(f"{scratch}/shared")) == sorted(map(os.path.basename, (new, foreign)))
+
+
 def test_batch_cycle_reports_both_feeds(spark, schema, scratch):
     frame = feed(spark, *snapshot(vehicle(), vehicle(), trip()), scratch=scratch)
     assert rows(ingest(spark, frame, schema, "1"), "feed", "parsed_rows", "unique_rows", "new_rows", "error") == [
@@ -231,13 +303,60 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, schema, tmp_path):
 def test_one_failing_feed_does_not_stop_the_other(spark, schema, tmp_path):
     land(tmp_path / "good", 0, snapshot(trip()))
     outcome = ingest_feeds(
-        spark, {"vehicle_positions": str(tmp_path / "missing"), "stop_time_updates": str(tmp_path / "good")}, schema, str(tmp_path / "ck")
+        spark, {"vehicle_positions": str(tmp_path / "missing"), "stop_time_updates": str(tmp_path / "good")}, schema, str(tmp_path / "ck"),
+        retries=2, first_wait=0.01,
     )
+    assert outcome["vehicle_positions"].restarts == 2 and outcome["stop_time_updates"].restarts == 0
     assert outcome["stop_time_updates"].error is None and outcome["vehicle_positions"].error is not None
     assert len(stored(spark, schema)) == 1
     with pytest.raises(RuntimeError):
-        ingest_feeds(spark, {"vehicle_positions": str(tmp_path / "missing")}, schema, str(tmp_path / "ck2"))
+        ingest_feeds(spark, {"vehicle_positions": str(tmp_path / "missing")}, schema, str(tmp_path / "ck2"), retries=0)
+
 
+def test_a_feed_that_fails_comes_back_and_loses_no_row(spark, schema, tmp_path):
+    """It fails before, in and after its first batch; waits grow, and begin anew after a batch."""
+    for n in range(3):
+        land(tmp_path / "in", n, snapshot(vehicle(stamp=T0 + n), logged=n))
+    name, times = f"{schema}.vehicle_positions", []
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_away")
+
+    def failure(feed, cause):
+        times.append(time.monotonic())
+        if len(times) == 2:
+            spark.sql(f"ALTER TABLE {name}_away RENAME TO {name}")
+
+    kept, calls = streaming.insert_new, []
+
+    def insert_once_then_fail(*args):
+        counts = kept(*args)
+        calls.append(counts)
+        if len(calls) == 2:
+            raise OSError("lost after the rows were written")
+        return counts
+
+    streaming.insert_new = insert_once_then_fail
+    try:
+        outcome = ingest_feeds(
+            spark, {"vehicle_positions": str(tmp_path / "in")}, schema, str(tmp_path / "ck"), failure,
+            files_per_batch=1, retries=2, first_wait=0.5, poll_seconds=0.1,
+        )["vehicle_positions"]
+    finally:
+        streaming.insert_new = kept
+    assert (outcome.error, outcome.restarts, outcome.batches, outcome.new) == (None, 3, 3, 3) and len(times) == 3
+    assert times[1] - times[0] >= 0.5
+    assert [r[1] for r in stored(spark, schema, tables.VEHICLES)] == [T0, T0 + 1, T0 + 2]
+
+
+def test_a_feed_is_given_up_after_failures_without_a_batch(spark, schema, tmp_path):
+    land(tmp_path / "in", 0, snapshot(trip()))
+    spark.sql(f"DROP TABLE {schema}.vehicle_positions")
+    told = []
+    outcome = ingest_feeds(
+        spark, {"vehicle_positions": str(tmp_path / "in"), "stop_time_updates": str(tmp_path / "in")}, schema, str(tmp_path / "ck"),
+        lambda name, cause: told.append(name), retries=1, first_wait=0.01,
+    )
+    assert told == ["vehicle_positions"] * 2 and outcome["vehicle_positions"].error is not None
+    assert outcome["vehicle_positions"].restarts == 1 and outcome["stop_time_updates"].new == 1
 
 def test_lines_that_cannot_be_parsed_are_counted(spark, schema, tmp_path):
     good = json.dumps(snapshot(trip())[0])
@@ -248,6 +367,34 @@ def test_lines_that_cannot_be_parsed_are_counted(spark, schema, tmp_path):
     found = outcome["stop_time_updates"]
     assert (found.error, found.rejected, found.parsed, found.new) == (None, 2, 1, 1)
     assert len(stored(spark, schema)) == 1
+    kept = tables.read_rejected(spark, f"{schema}.stop_time_updates")
+    assert kept.groupBy("batch_id").count().count() == 1
+    assert sorted((r.line, r.file.rsplit("/", 1)[1], r.reason) for r in kept.collect()) == sorted(
+        [(good[:40], "a.json", "no JSON"), (wrong, "a.json", "not as declared: trip_update")]
+    )
+
+
+def test_rejected_lines_of_a_replayed_batch_are_kept_once(spark, schema, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"logged_at"\n\n5\n[1]\n{"logged_at": "x", "entity_index": []}\n' + json.dumps(snapshot(trip())[0]) + "\n")
+    kept = streaming.keep_rejected
+
+    def keep_then_fail(*args):
+        kept(*args)
+        streaming.keep_rejected = kept
+        raise OSError("lost after the lines were written")
+
+    streaming.keep_rejected = keep_then_fail
+    try:
+        outcome = ingest_feeds(spark, {"stop_time_updates": str(tmp_path / "in")}, schema, str(tmp_path / "ck"), first_wait=0.01)
+    finally:
+        streaming.keep_rejected = kept
+    found = outcome["stop_time_updates"]
+    assert (found.restarts, found.rejected, found.new) == (1, 4, 1)
+    assert rows(tables.read_rejected(spark, f"{schema}.stop_time_updates"), "line", "reason") == [
+        ("5", "no object as declared"), ("[1]", "no object as declared"),
+        ('{"logged_at"', "no JSON"), ('{"logged_at": "x", "entity_index": []}', "not as declared: logged_at, entity_index"),
+    ]
 
 
 def test_a_failure_is_reported_while_the_other_feed_runs_on(spark, schema, tmp_path):
@@ -269,7 +416,7 @@ def test_a_failure_is_reported_while_the_other_feed_runs_on(spark, schema, tmp_p
 
     spark.sql(f"DROP TABLE {schema}.vehicle_positions")
     landing = {"stop_time_updates": str(tmp_path / "good"), "vehicle_positions": str(tmp_path / "bad")}
-    outcome = ingest_feeds(spark, landing, schema, str(tmp_path / "ck"), on_failure=failure, continuous_seconds=1)
+    outcome = ingest_feeds(spark, landing, schema, str(tmp_path / "ck"), on_failure=failure, continuous_seconds=1, retries=0)
     assert told == {"vehicle_positions": {f"ingest_{schema}_stop_time_updates", f"ingest_{other}_vehicle_positions"}}
     assert outcome["vehicle_positions"].error and not outcome["stop_time_updates"].error
     assert len(stored(spark, schema)) == 1

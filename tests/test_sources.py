@@ -5,6 +5,7 @@ from headwise.plans import fixed
 from headwise.plans.scheduled import EVENT_ORDER
 from headwise.schemas import EVENT_MINUTES, EVENTS, STOP_TIME_UPDATES
 from headwise.sources import captures, events, static
+from headwise.sources.delimited import has_broken_lines, read_delimited
 from tests.micro import rows, updates
 
 
@@ -75,6 +76,25 @@ def test_captures_are_read_together_and_bad_ones_are_reported(spark, capture_roo
     assert status["day 5.db"].startswith("error: no column trip_id; no column route_id")
 
 
+def test_pairs_of_thousands_of_captures_are_one_metric(spark):
+    """The plan doesn't grow with the captures, and every one's count is exact."""
+    pairs = spark.range(60_000).select(F.concat(F.lit("c"), F.floor(F.sqrt("id")).cast("string")).alias("source_db"))
+    sizes = []
+    for number, room in ((3, 50_000), (5000, 50_000), (5000, 40)):
+        found = [captures.Capture(f"c{n}", "p") for n in range(number - 1)] + [captures.Capture("bad", "p", "error: no")]
+        here = pairs.join(spark.createDataFrame([(c.name,) for c in found], "source_db string"), "source_db", "left_semi")
+        counts = captures.PairCounts(found, room)
+        watched = counts.watch(here)
+        sizes.append(watched._jdf.queryExecution().analyzed().toString().count("approx_top_k"))
+        watched.count()
+        status = dict(counts.status(spark).collect())
+        assert len(status) == number and status["bad"] == "error: no"
+        for n in range(number - 1):
+            expected = max(min((n + 1) ** 2, 60_000) - n * n, 0)
+            assert status[f"c{n}"] == (f"ok: {expected:,} candidate pairs" if expected else captures.NO_PAIRS), n
+    assert sizes[0] == sizes[1] < sizes[2]
+
+
 def test_one_bad_file_or_type_costs_its_capture_only(spark, tmp_path):
     names = ["a+b", "50%", "plain", "bad second file", "text times"]
     for name in names:
@@ -138,6 +158,37 @@ def test_events_survive_a_round_trip(spark, event_frame, scratch, format):
     assert EVENT_ORDER[0] == "event_date"
 
 
+AWKWARD = ["B\nC", "B\r\nC", "B\rC", " Main St ", "\tq\t", 'say "hi"', '"', '"\n"', "a,b", "\\", 'x\\"', "\n", "end\n", "é\u2028z", "\\n"]
+
+
+def test_cells_come_back_as_they_were(spark, event_frame, scratch):
+    """Line breaks, quotes and white space; files are read whole only if there are line breaks."""
+    first = event_frame.where("stop_name = ''")
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"{i:02d}").alias("trip")) for i, n in enumerate(AWKWARD)])
+    each = first.withColumn("n", F.explode(names))
+    named = each.withColumns({"stop_name": F.col("n.name"), "lead_trip_id": F.col("n.trip")}).select(*EVENTS.fieldNames()).repartition(3)
+    for number, kept in enumerate((named, named.where(r"NOT stop_name RLIKE '[\\r\\n]'"))):
+        events.write_events(kept, f"{scratch}/{number}")
+        assert has_broken_lines(spark, f"{scratch}/{number}") == (number == 0)
+        back = events.read_events(spark, f"{scratch}/{number}")
+        assert rows(back, *EVENTS.fieldNames()) == rows(kept, *EVENTS.fieldNames())
+    assert kept.count() == 9
+
+
+def test_tables_come_back_as_they_were(spark, scratch):
+    frame = spark.createDataFrame([(n, i) for i, n in enumerate(AWKWARD)], "place string, events int")
+    events.write_tables({"stops": frame}, scratch)
+    assert rows(read_delimited(spark, f"{scratch}/stops"), "place") == rows(frame, "place")
+
+
+def test_published_cells_may_hold_line_breaks(spark, folder):
+    (folder / "stops.txt").write_bytes('stop_id,stop_name,stop_lat,stop_lon\r\nA," Main ""St""\r\nNorth ",1,2\r\nB,Plain ,3,4\r\n'.encode())
+    (folder / "routes.txt").write_text('route_id,route_short_name,route_long_name,route_desc\n1,"a\nb",x,\n2, c ,y,\n')
+    read = static.read_static(spark, str(folder))
+    assert rows(read.stops, "stop_id", "stop_name", "stop_lon") == [("A", ' Main "St"\nNorth ', "2"), ("B", "Plain ", "4")]
+    assert rows(static.read_names(spark, str(folder)).routes, "route_id", "route_short_name") == [("1", "a\nb"), ("2", " c ")]
+
+
 def test_event_files_without_chart_columns_are_refused(spark, event_frame, scratch):
     event_frame.drop("stop_lat", "event_hour").write.option("header", True).csv(f"{scratch}/e")
     with pytest.raises(ValueError, match="no column event_hour; no column stop_lat"):
