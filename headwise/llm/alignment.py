@@ -23,7 +23,7 @@ BLOCK_BYTES = 1 << 20
 #: A pair is one number: B's id in the upper bits, A's in the lower.
 _A_BITS = 32
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 # How a byte-level BPE cuts texts into words: a fixed pattern.
 _WORDS = regex.compile(

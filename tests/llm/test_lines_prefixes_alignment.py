@@ -1,0 +1,295 @@
+"""Line dedup, the prefix trie and tokenizer alignment against brute force, and what they do with awkward rows."""
+
+import bisect
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from headwise.llm import alignment, line_dedup, prefix_trie, queries
+
+SF = "/root/testdata/sf0.001"
+WHITE = " \t\n\x0b\x0c\r"
+
+
+# --- lines -----------------------------------------------------------------------------
+
+
+def key_of(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(WHITE))
+
+
+def without_repeats(rows, min_docs, min_chars, keep_first=False):
+    """(text left, lines, lines dropped) of every (id, text), in their order."""
+    found = defaultdict(list)
+    split = [(text or "").split("\n") for _, text in rows]
+    for nth, lines in enumerate(split):
+        for n, line in enumerate(lines):
+            if len(key_of(line)) >= min_chars:
+                found[key_of(line)].append(((rows[nth][0] is None, rows[nth][0] or 0, nth, n), nth))
+    gone = defaultdict(set)
+    for places in found.values():
+        if len({nth for _, nth in places}) >= min_docs:
+            for place, nth in sorted(places)[1 if keep_first else 0 :]:
+                gone[nth].add(place[3])
+    return [
+        ("\n".join(line for n, line in enumerate(lines) if n not in gone[nth]), len(lines), len(gone[nth]))
+        for nth, lines in enumerate(split)
+    ]
+
+
+def draw_lines(seed):
+    draw = random.Random(seed)
+    shared = ["Menu", " menu\t", "MENU", "Ünder", "ünder", "x", "", "  ", "© All rights", "© all RIGHTS\r", "日本", "a b", "a  b"]
+    rows = [(n, "\n".join(draw.choice(shared) if draw.random() < 0.6 else f"own {draw.random()}" for _ in range(draw.randrange(12)))) for n in range(40)]
+    return [*rows, (None, None), (None, "Menu"), (3, "Menu\nx"), (3, "Menu\nx"), (50, ""), (51, "\n\n"), (52, "x\n" * 3000 + "Menu")]
+
+
+@pytest.mark.parametrize("min_docs, min_chars, keep_first", [(2, 1, False), (10, 1, False), (3, 2, True), (2, 1, True)])
+def test_lines_equal_brute_force(spark, min_docs, min_chars, keep_first):
+    rows = draw_lines(min_docs)
+    frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id int, text string, row string").coalesce(1)
+    found = line_dedup.drop_repeated_lines(frame, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first)
+    assert found.columns == ["doc_id", "text", "row", "n_lines", "n_dropped"]
+    expected = [(i, *left) for (i, _), left in zip(rows, without_repeats(rows, min_docs, min_chars, keep_first))]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_repeated_lines_are_reported(spark):
+    rows = [(5, "A\nb"), (4, "b\na\na"), (None, "B"), (9, "c")]
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2)
+    assert sorted(map(tuple, found.collect())) == [("a", 2, 3, 4, 1), ("b", 3, 3, 4, 0)]
+
+
+def test_names_that_clash_and_no_lines(spark):
+    frame = spark.createDataFrame([(1, "a", 1, 2, "z", "q")], "n_lines long, gone string, id long, key int, text string, n_dropped string")
+    found = line_dedup.drop_repeated_lines(frame, id="id")
+    assert found.columns == [*frame.columns, "n_lines_", "n_dropped_"]
+    assert found.first() == (1, "a", 1, 2, "z", "q", 1, 0)
+    assert line_dedup.drop_repeated_lines(frame.limit(0), id="id").count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.drop_repeated_lines(frame, id="id", min_docs=1)
+
+
+def test_keys_of_a_text_longer_than_a_slice(monkeypatch):
+    monkeypatch.setattr(line_dedup, "SLICE_BYTES", 64)
+    texts = [None, "A\n" * 100 + "ünd  " + "z" * 200 + "\n\nlast", "", "\n", "one\ntwo"]
+    found = []
+    for data, start, end, row in line_dedup._slices(pa.array(texts)):
+        assert len(start) == len(end) == len(row)
+        found += [(r, bytes(data[a:b]).decode()) for a, b, r in zip(start, end, row.tolist())]
+    assert found == [(r, line) for r, text in enumerate(texts) for line in (text or "").split("\n")]
+    for part in line_dedup._slices(pa.array(texts)):
+        keys = line_dedup.Keys(*part, 1)
+        own = [key_of(bytes(part[0][a:b]).decode()) for a, b in zip(part[1], part[2])]
+        assert keys.texts(slice(None)).to_pylist() == [k for k in own if k]
+        hashes = dict(zip(keys.texts(slice(None)).to_pylist(), keys.hashes().tolist()))
+        assert len(set(hashes.values())) == len(hashes)
+
+
+def test_the_filters_hold_every_hash_seen_twice():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    prints = draw.integers(0, 1 << 32, 60_000).astype("<u4")
+    filters = line_dedup.SeenTwice()
+    for part in (prints, prints[:5000], draw.integers(0, 1 << 32, 60_000).astype("<u4")):
+        filters.add(part)
+    bits = np.frombuffer(filters.bits(), np.uint8)
+    held = line_dedup.holds(bits, prints.astype(np.uint64), 1)
+    assert held[:5000].all() and held[5000:].mean() < 0.05
+
+
+# --- prefixes --------------------------------------------------------------------------
+
+
+def tree(turns):
+    """Nodes of the rebuilt conversations, by plain dictionaries."""
+    own = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [(r, t) for _, r, t in sorted(rows)] for c, rows in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    base = {c: c - int(c / 100) * 100 if c < 0 else c % 100 for c in own}
+    whole = {c: own.get(c - base[c], [])[: h[c]] + own[c][h[c] :] for c in own}
+    members = defaultdict(list)
+    for c, path in whole.items():
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    found = []
+    for node, who in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        ends = ",".join(str(c) for c in sorted(who) if len(whole[c]) == len(node))
+        found.append(
+            (
+                min(who), len(node), min(members[node[:-1]]) if node else None, len(who),
+                sum(len(n) == len(node) + 1 for n in below),
+                sum(not any(len(m) == len(n) + 1 and m[: len(n)] == n for m in below) for n in below),
+                sum((len(members[n]) - 1) * len(n[-1][1]) for n in below if n),
+                hashlib.sha256(ends.encode()).hexdigest(),
+            )
+        )
+    return sorted(found, key=str)
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def drawn_turns(seed, longest):
+    draw = random.Random(seed)
+    turns = []
+    for conv in [*range(0, 30), *range(195, 215), 300, 301, 777, -5, -100]:
+        for turn in range(draw.randrange(longest)):
+            turns.append((conv, turn, draw.choice(["user", "assistant"]) if turn > 3 else "user", draw.choice(["hi", "hé", ""]) if turn % 3 else "hello"))
+    return turns
+
+
+@pytest.mark.parametrize("seed, longest, stretch", [(1, 9, 256), (2, 25, 4), (3, 3, 1)])
+def test_prefixes_equal_plain_dictionaries(spark, monkeypatch, seed, longest, stretch):
+    monkeypatch.setattr(prefix_trie, "STRETCH", stretch)
+    turns = drawn_turns(seed, longest)
+    found = prefix_trie.prefix_nodes(spark.createDataFrame(turns, TURNS).repartition(3))
+    assert sorted(map(tuple, found.collect()), key=str) == tree(turns)
+
+
+def test_turns_without_number_role_text_or_conversation(spark):
+    turns = [
+        (1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "user", "b"), (None, 1, "user", "x"),
+        (2, None, "", ""), (100, 5, "user", "y"), (101, 7, "user", "y"), (101, 7, "user", "y"),
+    ]
+    frame = spark.createDataFrame([(*t, 1, b"") for t in turns], f"{TURNS}, depth int, hash binary")
+    assert sorted(map(tuple, prefix_trie.prefix_nodes(frame).collect()), key=str) == tree(turns)
+    assert prefix_trie.prefix_nodes(frame.limit(0)).count() == 0
+
+
+def test_two_fattest_numbers():
+    for low in range(40):
+        for high in range(low + 1, 41):
+            best = max(range(low + 1, high + 1), key=lambda n: (n & -n, -n))
+            assert prefix_trie.two_fattest(low, high) == best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_z_fast_tries_hold_what_was_inserted(seed):
+    """Random strings with long common beginnings; every prefix is told with its members."""
+    draw = random.Random(seed)
+    words = ["".join(draw.choice("ab") for _ in range(draw.randrange(60))) for _ in range(80)]
+    words += [w[: draw.randrange(len(w) + 1)] + draw.choice(["", "a", "bab"]) for w in words]
+    trie = prefix_trie.ZFastTrie()
+    for number, word in enumerate(words):
+        path = [hashlib.md5(word[:d].encode()).digest() if d else prefix_trie._NONE for d in range(len(word) + 1)]
+        trie.insert(0, path, [0, *range(1, len(word) + 1)], 1, number, 0)
+    members = defaultdict(list)
+    for number, word in enumerate(words):
+        for d in range(len(word) + 1):
+            members[word[:d]].append(number)
+    told = {row[1]: row for row in trie.expand(True)}
+    assert len(told) == len(members)
+    for prefix, who in members.items():
+        depth, _, _, _, weight, least, total = told[hashlib.md5(prefix.encode()).digest() if prefix else prefix_trie._NONE]
+        below = sum(len(m) * len(w) for w, m in members.items() if w.startswith(prefix))
+        assert (depth, weight, least, total) == (len(prefix), len(who), min(who), below)
+
+
+# --- alignment -------------------------------------------------------------------------
+
+
+def plainly_aligned(rows):
+    """(id, measures) of every row, token by token."""
+    import public_tokenizers as known
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(known.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=known.path("piece_bpe_32k.model"))
+    a.encode_special_tokens = True
+    letters = alignment.byte_alphabet()
+
+    def bytes_a(i):
+        return bytes(letters[c] for c in a.id_to_token(i))
+
+    def bytes_b(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+
+    def spans(ids, spell):
+        ends = [0]
+        for i in ids:
+            ends.append(ends[-1] + len(spell(i)))
+        return list(zip(ends, ends[1:], ids))
+
+    found, counts = [], Counter()
+    for id, text in rows:
+        whole = (" " + (text or "")).encode()
+        ids = a.encode(whole.decode(), add_special_tokens=False).ids, b.encode(text or "")
+        if not text or b"".join(map(bytes_a, ids[0])) != whole or b"".join(map(bytes_b, ids[1])) != whole:
+            found.append((id, 0, 0, 0, [], ""))
+            continue
+        left, right = spans(ids[0], bytes_a), spans(ids[1], bytes_b)
+        ends = sorted({e for _, e, _ in left} & {e for _, e, _ in right})
+        groups = [[[], []] for _ in ends]
+        for side, own in enumerate((left, right)):
+            for _, end, i in own:
+                groups[bisect.bisect_left(ends, end)][side].append(str(i))
+        text_of = ";".join("|".join(map(",".join, group)) for group in groups)
+        at, links = 0, []
+        for low, high, i in left:
+            while right[at][1] <= low:
+                at += 1
+            links += [(i, j) for start, _, j in right[at : at + high - low + 1] if start < high]
+        counts.update(links)
+        found.append((id, len(left), len(right), len(ends), links, hashlib.sha256(text_of.encode()).hexdigest()))
+    top = Counter()
+    for (_, j), n in counts.items():
+        top[j] = max(top[j], n)
+    return sorted(
+        ((*r[:4], len(r[4]), sum(counts[x] == top[x[1]] for x in r[4]), sum(counts[x] for x in r[4]), r[5]) for r in found), key=str
+    )
+
+
+ODD = [
+    (1, "plain text"), (2, "▁x"), (3, "a  b"), (4, "Ünïcode — 日本語 \U0001f600 İ it’s"), (5, ""), (6, None), (None, "plain text"),
+    (7, "<|endoftext|> <s> <0x41> </s> <unk>"), (8, " \t\n x"), (9, "ﬁ ½ Å"), (10, "x\x00y\x1c z\x85q"), (11, " "), (12, "plain text"),
+    (12, "plain text"), (13, "they've 10,000 x2's  \n\n end "), (14, "word " * 4000 + "İ"),
+]
+
+
+def test_alignment_of_odd_texts(spark):
+    frame = spark.createDataFrame([(*r, 1) for r in ODD], "doc_id long, text string, n int")
+    import public_tokenizers as known
+
+    paths = known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model")
+    found = alignment.compare_tokenizers(frame, *paths)
+    assert sorted(map(tuple, found.collect()), key=str) == plainly_aligned(ODD)
+    assert alignment.compare_tokenizers(frame.limit(0), *paths).count() == 0
+
+
+def test_alignment_of_the_documents(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    found = queries.op13_alignment(spark, SF)
+    order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, found.select(*order).collect()), key=str) == plainly_aligned(rows)
+
+
+def test_pairs_count_every_copy(spark):
+    import public_tokenizers as known
+
+    frame = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "one")], "doc_id long, text string")
+    pairs = alignment.align(frame, known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model")).pairs.collect()
+    assert sorted(r.n for r in pairs) == [2, 3] and all(r.best for r in pairs)
+
+
+def test_words_encoded_apart_are_texts_encoded_whole():
+    import public_tokenizers as known
+
+    cutter = alignment.ByteLevel(known.path("byte_bpe_50k.json"))
+    assert cutter._by_word
+    draw = random.Random(5)
+    alphabet = [*"abZé'ß.,;<|>-19 \n\t\r", "'s", "'re ", "  ", "\n\n", "’", "日", "\x1c", "\xa0", "<|endoftext|>", "Straße", "don't"]
+    texts = ["".join(draw.choices(alphabet, k=draw.randrange(40))) for _ in range(3000)]
+    assert cutter.encode(texts) == cutter._whole([" " + t for t in texts])
