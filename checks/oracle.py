@@ -324,6 +324,14 @@ _part("new_updates", "update_target", "update_batch")("""
         WHERE t.trip_id = b.trip_id AND t.stop_id = b.stop_id AND t.feed_timestamp = b.feed_timestamp)
 """)
 
+_TOP_STOPS = """
+    SELECT q.*, CASE WHEN s.stop_name <> '' THEN s.stop_name ELSE 'ID-' || q.stop_id END AS stop_name
+    FROM (SELECT route_id, stop_id, count(*) AS events,
+                 CAST(row_number() OVER (PARTITION BY route_id ORDER BY count(*) DESC, stop_id) AS INTEGER) AS rank
+          FROM fixed_events GROUP BY route_id, stop_id QUALIFY rank <= 3) q
+    LEFT JOIN stops s ON s.stop_id = q.stop_id
+"""
+
 _CANDIDATE = (
     "trailing_trip_id, lead_trip_id, route_id, direction_id, stop_id, stop_sequence, lead_arrival_time, "
     "trailing_arrival_time, actual_headway_seconds, feed_timestamp, logged_at, source_db"
@@ -396,6 +404,11 @@ def oracle_sql() -> dict[str, str]:
         """,
         "vehicle_batch", "update_batch", "new_vehicles", "new_updates",
     )
+    sql["newest_stored_updates"] = _with(
+        """SELECT trip_id, stop_id, arrival_delay, logged_at FROM update_batch
+           ORDER BY logged_at DESC, trip_id DESC, stop_id DESC, feed_timestamp DESC, stop_sequence DESC LIMIT 25""",
+        "update_batch",
+    )
     sql["compacted_updates"] = sql["insert_new_stop_updates"]
     sql["stream_ingest_vehicles"] = _with(
         f"""SELECT {_POSITION} FROM vehicle_positions
@@ -419,6 +432,7 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT DISTINCT source_db FROM stop_time_updates) u) counted
         UNION ALL SELECT 'capture_without_table', 'skipped: no stop_time_updates table'
         UNION ALL SELECT 'capture_of_other_types', 'error: arrival_time is string, not bigint; no column departure_time'
+        UNION ALL SELECT 'capture_with_damaged_file', 'error: damaged, 7 rows of 1 files cannot be read'
         UNION ALL SELECT 'capture_with_bad_file',
             'error: a file cannot be read as Parquet, or files disagree on their columns'
         """,
@@ -475,14 +489,12 @@ def oracle_sql() -> dict[str, str]:
            FROM fixed_events e LEFT JOIN routes r ON r.route_id = e.route_id GROUP BY ALL""",
         "fixed_events", "routes",
     )
-    sql["fixed_route_top_stops"] = _with(
-        """
-        SELECT q.*, CASE WHEN s.stop_name <> '' THEN s.stop_name ELSE 'ID-' || q.stop_id END AS stop_name
-        FROM (SELECT route_id, stop_id, count(*) AS events,
-                     CAST(row_number() OVER (PARTITION BY route_id ORDER BY count(*) DESC, stop_id) AS INTEGER) AS rank
-              FROM fixed_events GROUP BY route_id, stop_id QUALIFY rank <= 3) q
-        LEFT JOIN stops s ON s.stop_id = q.stop_id
-        """,
+    sql["fixed_route_top_stops"] = _with(_TOP_STOPS, "fixed_events", "stops")
+    sql["fixed_route_totals_partly_named"] = _with(
+        f"""SELECT 'ID-' || e.route_id AS route_name, e.route_id, count(*) AS events, any_value(n.first_stop) AS first_stop
+            FROM fixed_events e JOIN (
+                SELECT route_id, min(stop_name) AS first_stop FROM ({_TOP_STOPS}) GROUP BY route_id
+            ) n USING (route_id) GROUP BY e.route_id""",
         "fixed_events", "stops",
     )
     sql["fixed_route_top_patterns"] = _with(
@@ -497,6 +509,11 @@ def oracle_sql() -> dict[str, str]:
     sql["trip_dimension"] = _with("SELECT * FROM trip_dim", "trip_dim")
     sql["trip_terminal_stops"] = _with("SELECT * FROM terminals", "terminals")
     sql["trip_stop_schedule"] = _with("SELECT * FROM schedule", "schedule")
+    sql["stop_facts"] = _with(
+        """SELECT s.*, EXISTS (SELECT 1 FROM terminals t WHERE t.trip_id = s.trip_id AND t.stop_id = s.stop_id) AS is_terminal
+           FROM schedule s""",
+        "schedule", "terminals",
+    )
     sql["scheduled_gaps"] = _with("SELECT * FROM gaps", "gaps")
     sql["fallback_headways"] = _with("SELECT * FROM fallbacks", "fallbacks")
 

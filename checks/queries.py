@@ -104,7 +104,22 @@ def _land_captures(spark: SparkSession, sf_dir: str) -> list[captures.Capture]:
     bad = f"{root}/capture_with_bad_file/stop_time_updates"
     some.write.parquet(bad)
     some.select("trip_id").coalesce(1).write.mode("append").text(bad)
-    return captures.list_captures(spark, f"{root}/c*")
+    damaged = f"{root}/capture_with_damaged_file/stop_time_updates"
+    observed.drop("source_db").orderBy("trip_id", "logged_at", "stop_sequence").limit(7).coalesce(1).write.parquet(damaged)
+    for status in files.globStatus(path(f"{damaged}/*.parquet")):
+        _overwrite_bytes(spark, files, status.getPath())
+    return captures.examined(spark, captures.list_captures(spark, f"{root}/c*"))
+
+
+def _overwrite_bytes(spark: SparkSession, files, place) -> None:
+    """Spoil the beginning of a file's first page; its footer stays."""
+    source = files.open(place)
+    content = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    source.close()
+    content[4:40] = bytes(255 for _ in range(36))
+    sink = files.create(place, True)
+    sink.write(content)
+    sink.close()
 
 
 @_query
@@ -250,6 +265,21 @@ def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_.select(F.explode(F.array(*lines)).alias("value"))
 
 
+@_query
+def newest_stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of a table filled by six batches, every second date compacted."""
+    schema = _schema(spark, "newest")
+    rows = feeds.flatten_trip_updates(views.trip_update_feed(views.stop_time_updates(spark, sf_dir)))
+    for number in range(6):
+        part = rows.where(F.pmod(F.floor(F.col("feed_timestamp") / 86_400), F.lit(6)) == number)
+        tables.insert_new(spark, schema, tables.STOP_UPDATES, part, f"batch-{number}")
+    name = f"{schema}.{tables.STOP_UPDATES.name}"
+    days = [row.key_date for row in spark.table(name).select("key_date").distinct().collect()]
+    tables.compact(spark, schema, tables.STOP_UPDATES, sorted(d for d in days if d is not None)[::2])
+    order = ["trip_id", "stop_id", "feed_timestamp", "stop_sequence"]
+    return tables.newest_rows(spark, name, ["trip_id", "stop_id", "arrival_delay", "logged_at"], order, 25, at_once=1)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """Snapshots of both feeds landed as JSON lines, then followed by two streams, twice.
 
@@ -356,6 +386,25 @@ def _fixed_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return fixed.fixed_tables(_fixed_events(spark, sf_dir), named)
 
 
+@_query
+def fixed_route_totals_partly_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with names from a published folder in which the routes' table is missing."""
+    folder = scratch_path(spark, "names")
+    write_delimited(views.stops(spark, sf_dir), f"{folder}/stops.txt")
+    write_delimited(views.trips(spark, sf_dir), f"{folder}/trips.txt")
+    names = static.read_names(spark, folder)
+    assert set(names.problems) == {"routes"}, names.problems
+    tables_ = fixed.fixed_tables(_fixed_events(spark, sf_dir), names)
+    stops = tables_["route_top_stops"].groupBy("route_name").agg(F.min("stop_name").alias("first_stop"))
+    return tables_["route_totals"].join(stops, "route_name")
+
+
+@_query
+def stop_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detector knows of a trip's stop: its time, and whether it is a terminal."""
+    return tt.stop_facts(_timed(spark, sf_dir))
+
+
 @_query
 def fixed_sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixed_report(spark, sf_dir)["sample_log"]

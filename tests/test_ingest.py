@@ -426,3 +426,33 @@ def test_a_failure_is_reported_while_the_other_feed_runs_on(spark, schema, tmp_p
 def test_latest_rows(spark):
     frame = spark.range(10).select("id", (F.col("id") % 3).alias("logged_at"))
     assert [tuple(r) for r in tables.latest_rows(frame, ["id"], ["logged_at", "id"]).collect()] == [(8,), (5,)]
+
+
+def test_newest_rows_are_found_without_scanning_history(spark, schema, scratch):
+    """Late rows of old dates count by their capture time; batches are compacted in between."""
+    name, shots = f"{schema}.stop_time_updates", []
+    for n in range(12):
+        late = [trip(f"late{n}", stamp=T0 - 86_400 * 30)] if n == 7 else []
+        shots.append(snapshot(trip(f"t{n}", (("A", 1), ("B", 2)), T0 + 86_400 * (n // 3)), *late, logged=100 * (n if n != 4 else 20)))
+        insert(spark, schema, feed(spark, *shots[-1], scratch=scratch), f"b{n:02d}")
+    order, columns = ["trip_id", "stop_id"], ["trip_id", "stop_id", "logged_at"]
+    whole = tables.read_observations(spark, name)
+
+    def expected(n):
+        return [tuple(r) for r in whole.orderBy(*[F.desc(c) for c in ("logged_at", *order)]).limit(n).select(*columns).collect()]
+
+    for n in (0, 1, 2, 3, 5, 13, 24, 25, 100):
+        found = tables.newest_rows(spark, name, columns, order, n, at_once=1)
+        assert [tuple(r) for r in found.collect()] == expected(n), n
+    two = tables.newest_rows(spark, name, columns, order, 2, at_once=1)
+    assert two.first().trip_id == "t4"
+    read = tables.newest_rows(spark, name, ["trip_id"], order, 3, at_once=1)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [batch_id" in plan and "b00" not in plan and "b10" not in plan
+    day = date(1970, 1, 1) + timedelta(days=T0 // 86_400)
+    before = expected(25)
+    tables.compact(spark, schema, tables.STOP_UPDATES, [day, day + timedelta(days=1), day - timedelta(days=30)])
+    whole = tables.read_observations(spark, name)
+    for n in (1, 3, 25):
+        found = tables.newest_rows(spark, name, columns, order, n, at_once=2)
+        assert [tuple(r) for r in found.collect()] == before[:n] == expected(n)

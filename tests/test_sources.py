@@ -111,6 +111,28 @@ def test_one_bad_file_or_type_costs_its_capture_only(spark, tmp_path):
     assert rows(captures.read_captures(spark, found), "source_db") == [("50%",), ("a+b",), ("plain",)]
 
 
+def test_damage_inside_a_file_costs_its_capture_only(spark, tmp_path):
+    """Row groups before the damage can be read, but a capture is taken whole or not at all."""
+    rows_of = [("t%d" % (n // 50), n % 50, "A", n) for n in range(4000)]
+    for name in ("sound", "spoilt", "short"):
+        data = updates(spark, rows_of[: 10 if name == "short" else 4000]).drop("source_db").coalesce(1)
+        data.write.option("parquet.block.size", 20_000).option("parquet.page.row.count.limit", 200).parquet(str(tmp_path / name / "stop_time_updates"))
+    (spoilt,) = (tmp_path / "spoilt" / "stop_time_updates").glob("*.parquet")
+    content = bytearray(spoilt.read_bytes())
+    middle = len(content) // 2
+    content[middle : middle + 3000] = bytes([255]) * 3000
+    (spoilt.parent / ("." + spoilt.name + ".crc")).unlink()
+    spoilt.write_bytes(content)
+    listed = captures.list_captures(spark, f"{tmp_path}/*")
+    assert all(c.problem is None for c in listed)
+    found = {c.name: c for c in captures.examined(spark, listed)}
+    assert found["sound"].problem is None and found["short"].problem is None
+    assert found["spoilt"].problem.startswith("error: damaged, ") and "rows of 1 files" in found["spoilt"].problem
+    counts = captures.read_captures(spark, list(found.values())).groupBy("source_db").count()
+    assert rows(counts, "source_db", "count") == [("short", 10), ("sound", 4000)]
+    assert captures.examined(spark, [found["spoilt"]]) == [found["spoilt"]]
+
+
 def test_names_that_cannot_be_read_are_left_out(spark, folder):
     (folder / "trips.txt").unlink()
     (folder / "stops.txt").write_text("stop_id,zone\nA,z\n")
