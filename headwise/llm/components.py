@@ -8,25 +8,42 @@ from pyspark.sql import functions as F
 from headwise.session import materialise, scratch_path
 
 
-def _adopted(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is joined to that node's smallest neighbour instead.
+#: A node with more than this share of all rows meets its smallest neighbour without a shuffle; so do
+#: at most this many nodes.
+HEAVY_SHARE = 4096
 
-    The smallest neighbour comes from a map-side combined aggregate, so that a node with
-    very many neighbours is not one task's work; the join splits such a node's rows.
+
+def _with_least(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """`rows` (src, dst) with `least` of their src, from `least` (src, least, n), n being how many rows src has.
+
+    Rows of one node would meet in one task. So nodes with more than `count` / 4096 rows,
+    of which there are fewer than 4,096, are sent to all tasks, and only the rest is shuffled.
     """
-    both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("least"))
-    return (
-        both.where("dst > src")
-        .join(least, "src")
-        .select(F.col("dst").alias("src"), F.least("least", "src").alias("dst"))
+    limit = max(count // HEAVY_SHARE, 16)
+    heavy = F.broadcast(least.where(F.col("n") > limit).select("src", F.col("least").alias("known")))
+    marked = rows.join(heavy, "src", "left")
+    light = marked.where("known IS NULL").select("src", "dst").join(least.where(F.col("n") <= limit), "src")
+    return marked.where("known IS NOT NULL").select("src", "dst", F.col("known").alias("least")).unionAll(
+        light.select("src", "dst", "least")
     )
 
 
-def _gathered(edges: DataFrame) -> DataFrame:
+def _least(rows: DataFrame) -> DataFrame:
+    """Every node's smallest neighbour and number of neighbours, combined in each map task first."""
+    return rows.groupBy("src").agg(F.min("dst").alias("least"), F.count("*").alias("n"))
+
+
+def _adopted(edges: DataFrame, count: int) -> DataFrame:
+    """Every neighbour above a node is joined to that node's smallest neighbour instead."""
+    both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    joined = _with_least(both.where("dst > src"), _least(both), 2 * count)
+    return joined.select(F.col("dst").alias("src"), F.least("least", "src").alias("dst"))
+
+
+def _gathered(edges: DataFrame, count: int) -> DataFrame:
     """Every node's smaller neighbours, and the node, are joined to the smallest of them."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
-    joined = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    least = _least(edges)
+    joined = _with_least(edges, least, count).select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     return joined.unionAll(least.select("src", F.col("least").alias("dst"))).where("src > dst").distinct()
 
 
@@ -36,7 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     `edges` has longs `src` and `dst`. Star contraction: every round replaces edges by
     edges to smaller nodes, in a number of rounds that grows with the logarithm of the
     longest path. Every round is written to the shared folder, so a lost executor costs one
-    round at most. No edges give no rows; loops and repeated edges do no harm.
+    round at most. A node with very many neighbours is spread over all tasks (`_with_least`). No edges give
+    no rows; loops and repeated edges do no harm.
     """
     spark = edges.sparkSession
     folder = scratch_path(spark, "components")
@@ -52,4 +70,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 current.select(F.col("dst").alias("node"), F.col("dst").alias("root"))
             ).distinct()
         before, step = state, step + 1
-        current = materialise(_gathered(_adopted(current)), f"{folder}/{step}")
+        adopted = _adopted(current, state["n"])  # as many rows as there are edges
+        current = materialise(_gathered(adopted, state["n"]), f"{folder}/{step}")

@@ -15,6 +15,8 @@ from headwise.llm.common import fresh_name
 
 #: Lengths of n-grams, and hashed features.
 SIZES, FEATURES = (3, 4, 5), 1 << 15
+#: Weight of the squared coefficients when fitting.
+REGULARISATION = 0.001
 
 # The rules of the registered query (verdict, host and path).
 RULES = (
@@ -25,43 +27,51 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-# The small labelled table that the registered query learns from: names of sites, put into
-# the hosts and the paths of a few usual addresses by `labelled_urls`.
+# The small labelled table that the registered query learns from is made of these words by `labelled_urls`.
 UNWANTED = (
-    "adult-x adult-cams xxx-video porn-tube hot-singles casino-win casino-royal free-bets sport-bets "
-    "lucky-slots poker-cash cheap-pills pharma-sale diet-pills replica-watch spam-farm link-farm "
-    "ads-track ad-server click-track pixel-track popup-ads payday-loan crypto-doubler prize-winner"
+    "porn xxx sex nude erotic escort camgirl hentai milf fetish stripper webcam casino poker roulette "
+    "blackjack jackpot slots betting bookmaker gambling bingo lottery viagra cialis xanax steroid pharmacy "
+    "pills payday loans replica backlink spam warez keygen cracked torrent adserver adclick popunder "
+    "clickbait doubler giveaway adult bets affiliate sexcam spambot gambler"
 ).split()
+# Everyday words, and words that share letters with unwanted ones.
 WANTED = (
     "news library docs wiki archive school museum weather science history travel recipes garden "
     "music gazette courier review research university hospital council railway theatre chess "
     "nature physics poetry kitchen village harbour mountain river forest bakery cinema painting "
     "football cycling biology geology economics parliament cathedral mathematics insurance "
-    "contact about products support calendar members gallery download"
+    "contact about products support calendar members gallery download index article post "
+    "essex analysis specialist therapist pillar alphabet diabetes timetable racetrack address admin "
+    "farmers window winter cashmere popcorn acorn unicorn sextant poetic sloth plots camera campus "
+    "betterment tourists torrential spanish loaned casing casual escarpment bookshop bookkeeper lottie "
+    "corner pokemon steroscope pharmacology clicker giving cracker server router exchange"
 ).split()
-_ADDRESSES = (
-    "https://{}.example.net/en/1042",
-    "http://www.{}.example.org/de/77.html",
-    "https://blog.{}.example.net/2021/post?page=2",
-    "http://m.{}.example.org/",
-)
-# Hosts that say nothing, as the names of either kind stand in their paths.
-_PATHS = (
-    "https://blog.pages.example.org/{}",
-    "http://www.pages.example.net/en/{}/1042",
-    "https://m.pages.example.net/2021/{}.html",
-    "http://pages.example.org/{}/{}/?page=2",
-)
+#: Words that stand beside either kind, so that they say nothing.
+_BESIDE = "online best free cheap hot live top royal club hub world city zone now my 24 365 shop".split()
+_TAILS = "com net org info tv io ru de biz xyz".split()
+
+
+def _names(word: str, at: int) -> list[str]:
+    """A word alone, and with some others before and after it, joined and hyphenated."""
+    beside = [_BESIDE[(at * 5 + step) % len(_BESIDE)] for step in range(4)]
+    return [word, beside[0] + word, word + beside[1], f"{beside[2]}-{word}", f"{word}-{beside[3]}", f"{word}{at % 9 + 1}"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): 1 for addresses to block."""
-    rows = [
-        (a.format(n, names[at - 1]), float(label))
-        for label, names in ((1, UNWANTED), (0, WANTED))
-        for at, n in enumerate(names)
-        for a in _ADDRESSES + _PATHS
-    ]
+    """(url, label): 1 for addresses to block. A word's names stand in short and long hosts, and in paths of
+    hosts that say nothing; both kinds have the same endings, languages and numbers."""
+    rows = []
+    for label, words in ((1.0, UNWANTED), (0.0, WANTED)):
+        for at, word in enumerate(words):
+            for nth, name in enumerate(_names(word, at)):
+                tail, other = (_TAILS[(at + nth * step) % len(_TAILS)] for step in (1, 3))
+                neutral = f"site{at % 7}.example.{other}"
+                rows += [
+                    (f"http://{name}.{tail}/", label),
+                    (f"https://www.{name}.example.{other}/en/{1000 + at}", label),
+                    (f"https://{neutral}/{name}", label),
+                    (f"http://m.{neutral}/2021/{name}.html?page=2", label),
+                ]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -95,15 +105,17 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label") -> Logist
     """Logistic regression on a small labelled table: label 1 blocks; other labels and NULLs are left out.
 
     The table is small by contract, so it is fitted in one partition, which also makes the
-    model the same every time.
+    model the same every time. Both labels weigh the same, however many rows each has.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.col(url).alias("url"), F.col(label).cast("double").alias("label")
     )
     rows = rows.coalesce(1).sortWithinPartitions("label", "url")
-    featured = _featured(rows, host_of(F.col("url")), path_of(F.col("url")), "features")
-    regression = LogisticRegression(regParam=0.002, maxIter=100, standardization=False)
-    return regression.fit(featured.select("features", "label"))
+    count = rows.agg(F.count("*").alias("all"), F.sum("label").alias("blocked")).first()
+    own = F.when(F.col("label") == 1, F.lit(count["blocked"] or 0.0)).otherwise(F.lit(count["all"] - (count["blocked"] or 0.0)))
+    featured = _featured(rows, host_of(F.col("url")), path_of(F.col("url")), "features").withColumn("weight", 1 / own)
+    regression = LogisticRegression(regParam=REGULARISATION, maxIter=50, standardization=False, weightCol="weight")
+    return regression.fit(featured.select("features", "label", "weight"))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from headwise.llm import chat, decontamination, exact_dedup, language, license_scan, mixing, simhash, token_output, toxicity, url_filter
 from headwise.llm.common import byte_chunks, fresh_name, hashed_words, word_hash
+from headwise.llm import components
 from headwise.llm.components import connected_components
 from headwise.llm.queries import tokenizer_path
 
@@ -88,6 +89,19 @@ def test_components_equal_union_find(spark, seed):
     assert found == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
+def test_a_hot_node_is_not_one_tasks_work(spark):
+    """A star of stars: its rows don't meet by key, and the result is that of any other graph."""
+    edges = [(0, n) for n in range(1, 3000)] + [(n, n + 10_000) for n in range(1, 3000, 7)] + [(20_000, 20_001)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(4)
+    found = {r.node: r.root for r in connected_components(frame).collect()}
+    assert found == {n: 0 if n < 20_000 else 20_000 for e in edges for n in e}
+    rows = frame.select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionAll(frame)
+    shuffled = components._with_least(rows, components._least(rows), rows.count())
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "n#" in plan
+    assert components._least(rows).where("n > 16").count() == 1
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 

@@ -297,12 +297,16 @@ def test_every_notice_of_a_text_is_found(spark):
         assert expected[row.doc_id] <= set(row.labels.split(",")), (row.doc_id, row.labels)
 
 
-def test_url_parts_and_rules_equal_brute_force(spark):
+@pytest.fixture(scope="module")
+def model(spark):
+    return url_filter.train(url_filter.labelled_urls(spark))
+
+
+def test_url_parts_and_rules_equal_brute_force(spark, model):
     pages = {r[0]: r[1] for r in table("pages")}
     extra = ["HTTP://WWW.Example.COM/en/x?y#z", "x://net/es/", "x://a.net/fr", "x://net/fr/", "x://notnet/es/", "a://b://c/d", "x://com", "x://com/?", "://é.COM/", None, "plain", "x://www.example.com/en/", "x://q.example.com/en/1"]
     pages |= {-1 - i: u for i, u in enumerate(extra)}
     frame = spark.createDataFrame(list(pages.items()), "page_id long, url string")
-    model = url_filter.train(url_filter.labelled_urls(spark))
     for row in url_filter.judge(frame, model).collect():
         url = pages[row.page_id]
         rest = url.split("://", 1)[1] if url and "://" in url else None
@@ -318,16 +322,14 @@ def test_url_parts_and_rules_equal_brute_force(spark):
         assert (row.rule, row.verdict) == (max(fitting)[1:] if fitting else (None, method)), url
 
 
-def test_unseen_addresses_of_unwanted_kinds_are_blocked(spark):
-    model = url_filter.train(url_filter.labelled_urls(spark))
+def test_unseen_addresses_of_unwanted_kinds_are_blocked(spark, model):
     urls = {"http://best-casino.example.org/de/1": "block", "https://blog.free-bets-now.example.net/x": "block",
             "https://nature-museum.example.org/en/3": "allow", "http://www.thorning.example.net/en/55.html": "allow"}
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.verdict for r in url_filter.judge(frame, model, rules=()).collect()} == urls
 
 
-def test_unseen_unwanted_paths_are_blocked_on_any_host(spark):
-    model = url_filter.train(url_filter.labelled_urls(spark))
+def test_unseen_unwanted_paths_are_blocked_on_any_host(spark, model):
     urls = {"https://blog.foo.org/casino-win/xxx-video": "block", "https://www.acme.org/en/online-casino/7": "block",
             "http://m.some.net/porn-videos.html": "block", "https://blog.foo.org/2021/cheap-diet-pills/": "block",
             "https://blog.foo.org/science-museum/history": "allow", "https://www.acme.org/en/7": "allow",
@@ -335,3 +337,50 @@ def test_unseen_unwanted_paths_are_blocked_on_any_host(spark):
             "https://www.acme.org/": "allow", "http://m.some.net/de/1373.html": "allow"}
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.verdict for r in url_filter.judge(frame, model, rules=()).collect()} == urls
+
+
+# Sites of either kind; none of their names is in the labelled table.
+UNSEEN_UNWANTED = (
+    "pornhub.xyz onlinecasino.biz buyviagra.ru xxx.tv freepokerchips.info casinos-vegas.com pokerstars.net "
+    "sexshop24.de sexychat.org nudegirls.tv eroticstories.com escorts-berlin.de hentaihaven.xyz grandfetishworld.info "
+    "webcams4you.com blackjacktable.io megajackpots.com luckyslots777.com slotmachines.ru sportsbetting.org "
+    "betting-tips.net gamblingsites.com bingohall.uk.com lotterywinners.info genericcialis.biz xanaxpills.ru "
+    "canadianpharmacy.com paydayloan.net fastloans-today.com replicawatches.cn buybacklinks.io spammers.org "
+    "warezforum.to keygens.ws crackedsoftware.ru torrents.to adservers.net popunders.com clickbaits.info "
+    "bitcoindoubler.xyz giveaways4u.com strippers-club.com casino-win.example.com free-bets.example.com "
+    "ads-track.example.com spam-farm.example.org cheap-pills.example.net adult-x.example.com "
+).split()
+UNSEEN_WANTED = (
+    "bbc.co.uk cornwall.gov.uk sussexlife.org middlesex.edu heidelberg.de analytics.io socialists.org "
+    "pillowshop.com caterpillar.com alphabetical.info betterhomes.com timeslots.org soundtracks.net addresses.com "
+    "adminpanel.org winterthur.ch windowsill.net popcornmachine.com unicorns.io slothsanctuary.org camerashop.de "
+    "campusnews.edu bookstore.org tournament.info travelblog.com torontostar.ca spaniel.org loandolin.com "
+    "castle.org casserole.net escalator.com cookingclub.org bestrecipes24.com freemusic.net onlinelibrary.org "
+    "cheapflights.com hotspring.jp liveweather.tv topscience.org royalsociety.org clubhouse.com worldbank.org "
+    "cityguide.de gardening.net poetryfoundation.org mathematics4kids.com insurancequotes.com hospitals.org "
+    "museumsinsel.de parliamentary.uk grandchessclub.com geologists.org cyclists.net bakeries.info theatres.com "
+    "harbourview.com forestry.gov rivers.org courierservice.com gazettes.net ththsh.example.com tionble.example.org "
+).split()
+
+
+def test_verdicts_on_names_that_are_not_in_the_table(spark, model):
+    """Precision and recall of blocking, of hosts and of paths on a host that says nothing."""
+    labelled = url_filter.labelled_urls(spark)
+    known = {part for row in labelled.collect() for part in re.split("[/.?]+", row.url)}
+    rows = [(h, 1) for h in UNSEEN_UNWANTED if h != "xxx.tv"] + [(h, 0) for h in UNSEEN_WANTED]
+    assert not {h.split(".")[0] for h, _ in rows} & known
+    urls = [(f"http://{h}/en/7", y, "host") for h, y in rows] + [(f"https://blog.foo.org/{h.split('.')[0]}/7.html", y, "path") for h, y in rows]
+    judged = url_filter.judge(spark.createDataFrame(urls, "url string, unwanted int, where string"), model, rules=()).collect()
+    for place in ("host", "path"):
+        own = [(r.unwanted, r.verdict == "block") for r in judged if r["where"] == place]
+        hits = sum(y and block for y, block in own)
+        assert hits / sum(block for _, block in own) >= 0.9 and hits / sum(y for y, _ in own) >= 0.85, place
+    hits = sum(r.unwanted and r.verdict == "block" for r in judged)
+    assert hits / sum(r.verdict == "block" for r in judged) >= 0.9 and hits / sum(r.unwanted for r in judged) >= 0.9
+
+
+def test_both_labels_weigh_the_same(spark):
+    few = url_filter.labelled_urls(spark).where("label = 0 OR url LIKE '%casino%'")
+    judged = url_filter.judge(spark.createDataFrame([("http://grandcasino.org/",), ("http://grandhotel.org/",)], "url string"), url_filter.train(few), rules=())
+    assert [r.verdict for r in judged.collect()] == ["block", "allow"]
+    assert url_filter.judge(few.select("url"), url_filter.train(few.limit(0).unionAll(few.where("label = 0").limit(3)))).count() == few.count()
