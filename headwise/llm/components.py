@@ -8,43 +8,33 @@ from pyspark.sql import functions as F
 from headwise.session import materialise, scratch_path
 
 
-#: A node with more than this share of all rows meets its smallest neighbour without a shuffle; so do
-#: at most this many nodes.
-HEAVY_SHARE = 4096
+#: Parts that the rows of every node are dealt to when they meet its smallest neighbour.
+SALTS = 16
 
 
-def _with_least(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """`rows` (src, dst) with `least` of their src, from `least` (src, least, n), n being how many rows src has.
+def _with_least(rows: DataFrame) -> DataFrame:
+    """`rows` (src, dst) with `least`, the smallest dst of their src.
 
-    Rows of one node would meet in one task. So nodes with more than `count` / 4096 rows,
-    of which there are fewer than 4,096, are sent to all tasks, and only the rest is shuffled.
+    The smallest comes from a map-side combined aggregate. It is repeated for every part, and the rows of a node
+    meet it in 16 parts by their dst, so that a node with very many neighbours is not one task's work.
     """
-    limit = max(count // HEAVY_SHARE, 16)
-    heavy = F.broadcast(least.where(F.col("n") > limit).select("src", F.col("least").alias("known")))
-    marked = rows.join(heavy, "src", "left")
-    light = marked.where("known IS NULL").select("src", "dst").join(least.where(F.col("n") <= limit), "src")
-    return marked.where("known IS NOT NULL").select("src", "dst", F.col("known").alias("least")).unionAll(
-        light.select("src", "dst", "least")
-    )
+    least = rows.groupBy("src").agg(F.min("dst").alias("least"))
+    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, ["src", "part"]).select("src", "dst", "least")
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    """Every node's smallest neighbour and number of neighbours, combined in each map task first."""
-    return rows.groupBy("src").agg(F.min("dst").alias("least"), F.count("*").alias("n"))
-
-
-def _adopted(edges: DataFrame, count: int) -> DataFrame:
+def _adopted(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is joined to that node's smallest neighbour instead."""
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    joined = _with_least(both.where("dst > src"), _least(both), 2 * count)
-    return joined.select(F.col("dst").alias("src"), F.least("least", "src").alias("dst"))
+    return _with_least(both).where("dst > src").select(F.col("dst").alias("src"), F.least("least", "src").alias("dst"))
 
 
-def _gathered(edges: DataFrame, count: int) -> DataFrame:
+def _gathered(edges: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and the node, are joined to the smallest of them."""
-    least = _least(edges)
-    joined = _with_least(edges, least, count).select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-    return joined.unionAll(least.select("src", F.col("least").alias("dst"))).where("src > dst").distinct()
+    joined = _with_least(edges).select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    least = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    return joined.unionAll(least).where("src > dst").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -70,5 +60,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 current.select(F.col("dst").alias("node"), F.col("dst").alias("root"))
             ).distinct()
         before, step = state, step + 1
-        adopted = _adopted(current, state["n"])  # as many rows as there are edges
-        current = materialise(_gathered(adopted, state["n"]), f"{folder}/{step}")
+        current = materialise(_gathered(_adopted(current)), f"{folder}/{step}")

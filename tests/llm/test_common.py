@@ -95,11 +95,10 @@ def test_a_hot_node_is_not_one_tasks_work(spark):
     frame = spark.createDataFrame(edges, "src long, dst long").repartition(4)
     found = {r.node: r.root for r in connected_components(frame).collect()}
     assert found == {n: 0 if n < 20_000 else 20_000 for e in edges for n in e}
-    rows = frame.select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionAll(frame)
-    shuffled = components._with_least(rows, components._least(rows), rows.count())
-    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan and "n#" in plan
-    assert components._least(rows).where("n > 16").count() == 1
+    joined = components._with_least(frame)
+    assert joined.count() == len(edges) and joined.where("src = 0 AND least != 1").count() == 0
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((src" in plan and "part" in plan.split("Join Inner, ")[1].split("\n")[0]
 
 
 def test_no_edges(spark):
