@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from headwise.session import materialise, scratch_path
 
-#: Runs at the leaves of the tree, and how many of them one merge takes in.
-RUNS, FAN_IN = 64, 8
+#: Runs at the leaves of the tree, and how many of them one merge takes in (2: a binomial tree).
+RUNS, FAN_IN = 16, 2
 
 
 def normalised(text: Column) -> Column:
@@ -16,17 +16,27 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def _merge(entries: DataFrame, run: Column) -> DataFrame:
-    """One sorted run per value of `run`: an entry for each digest, with its best row.
+_KEYS = ("sha", "size", "check")
+
+
+def _reduced(entries: DataFrame) -> DataFrame:
+    """One entry per run and digest, with the best row and the number of copies.
 
     An entry's key is the digest with the length and a second hash of what was
     digested, so that rows are held to be equal only if all three agree.
     """
-    return (
-        entries.groupBy(run.alias("run"), "sha", "size", "check")
-        .agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
-        .sortWithinPartitions("run", "sha")
-    )
+    return entries.groupBy("run", *_KEYS).agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
+
+
+def _merged(runs: DataFrame, width: int) -> DataFrame:
+    """Every run merged into the first of the `width` neighbours it stands among.
+
+    Entries are dealt by ranges of (receiving run, digest), so the entries of a digest stand next to each
+    other once each range is sorted; the reduction takes that partitioning and order as they
+    are. A digest has one entry per run by then, so no range is heavy, whatever the group.
+    """
+    received = runs.withColumn("run", F.col("run") - F.pmod("run", F.lit(width)))
+    return _reduced(received.repartitionByRange("run", "sha").sortWithinPartitions("run", *_KEYS))
 
 
 def exact_duplicates(
@@ -41,9 +51,10 @@ def exact_duplicates(
 
     Digests are taken once, text is never shuffled. Each of `runs` leaf runs keeps one entry per
     digest, reduced before its shuffle, so a group of copies arrives in each run as one
-    entry per map task. Rounds then merge `fan_in` neighbouring runs into one, keeping the
-    best verified row of each digest and adding up the copies, until one run is left. A
-    run is spread over partitions by digest, so none is ever one task's work.
+    entry per map task. In round k of the tree, run r + 2^k goes to run r, if r is a multiple of 2^(k+1) (for
+    the usual `fan_in` of 2): both are sorted by digest and merged, keeping the best verified row of each
+    digest and adding up the copies, until run 0 holds all. A run is spread over ranges of
+    digests, so none is ever one task's work. Every round is written, so a lost executor costs one round's tasks.
     """
     folder = scratch_path(docs.sparkSession, "exact")
     text_left = normalised(F.col(text))
@@ -65,17 +76,13 @@ def exact_duplicates(
     )
     best = F.struct((-F.col("length")).alias("rank"), F.col("id").isNull().alias("nameless"), "id")
     entries = digests.select("run", "sha", "size", "check", best.alias("best"), F.lit(1).cast("long").alias("copies"))
-    merged = _merge(entries, F.col("run"))
-    left, round = runs, 0
-    while True:
-        merged = materialise(merged, f"{folder}/round={round}")
-        if left <= 1:
-            break
-        left, round = -(-left // fan_in), round + 1
-        merged = _merge(merged, F.floor(F.col("run") / fan_in).cast("int"))
-    keys = ["sha", "size", "check"]
-    found = merged.select(*keys, F.col("best.id").alias("keep_id"), F.col("best.rank").alias("rank"), "copies")
-    return digests.join(found, keys).select(
+    merged = materialise(_reduced(entries).sortWithinPartitions("run", *_KEYS), f"{folder}/leaves")
+    width = 1
+    while width < runs:
+        width *= fan_in
+        merged = materialise(_merged(merged, width), f"{folder}/width={width}")
+    found = merged.select(*_KEYS, F.col("best.id").alias("keep_id"), F.col("best.rank").alias("rank"), "copies")
+    return digests.join(found, list(_KEYS)).select(
         F.col("id").alias(id),
         "keep_id",
         F.col("copies").alias("group_size"),

@@ -43,6 +43,34 @@ def test_a_text_that_stays_has_most_code_points(spark):
     assert one == hashlib.sha256("a\u00a0b".encode()).hexdigest()
 
 
+@pytest.mark.parametrize("runs", [1, 2, 7, 16])
+def test_any_number_of_runs_gives_the_same_groups(spark, runs):
+    from headwise.llm.exact_dedup import exact_duplicates
+
+    rows = [(n, "hot" if n % 3 == 0 else f"t {n % 50}", "clash") for n in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, run string").repartition(20)
+    sizes, least = defaultdict(int), {}
+    for doc_id, text, _ in rows:
+        sizes[text] += 1
+        least.setdefault(text, doc_id)
+    for row in exact_duplicates(frame, runs=runs).collect():
+        text = rows[row.doc_id][1]
+        assert (row.keep_id, row.group_size, row.kept) == (least[text], sizes[text], row.doc_id == least[text])
+
+
+def test_runs_are_merged_from_sorted_neighbours(spark, tmp_path):
+    from headwise.llm.exact_dedup import _merged
+    from headwise.session import materialise
+
+    rows = [(run, bytes([d]), 1, 0, {"rank": -1, "nameless": False, "id": run}, 1) for run in range(8) for d in range(9)]
+    schema = "run int, sha binary, size int, check long, best struct<rank:int, nameless:boolean, id:long>, copies long"
+    merged = _merged(materialise(spark.createDataFrame(rows, schema), f"{tmp_path}/runs"), 2)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning(run") == 1 and "HashAggregate" not in plan
+    assert {(r.run, r.best.id, r.copies) for r in merged.collect()} == {(n, n, 2) for n in (0, 2, 4, 6)}
+    assert merged.count() == 36
+
+
 # --- tokens ----------------------------------------------------------------------------
 
 
