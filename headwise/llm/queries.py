@@ -134,7 +134,21 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _EXACT, "op7_mixing": _MIXING, "op11_line_dedup": _LINES, "op12_prefix_trie": _TRIE}
+    return {
+        "op6_exact_dedup": _EXACT,
+        "op7_mixing": _MIXING,
+        "op10_license_scan": _licences(),
+        "op11_line_dedup": _LINES,
+        "op12_prefix_trie": _TRIE,
+    }
+
+
+def _licences() -> str:
+    """SQL over the phrases and notices as rows: every place of every word of theirs, lined up by start."""
+    rows = [(label, phrase, phrase, True) for phrase, label in license_scan.PHRASES]
+    rows += [(label, key, notice, False) for label, key, notice in license_scan.NOTICES]
+    values = ", ".join(f"({n}, '{label}', '{key}', '{text}', {base})" for n, (label, key, text, base) in enumerate(rows))
+    return _LICENCES.replace("$templates", values).replace("$share", str(license_scan.SHARE))
 
 
 _EXACT = r"""
@@ -183,6 +197,42 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM r
 """
 
+_LICENCES = r"""
+WITH t(nth, label, key, notice, base) AS (VALUES $templates),
+tw AS (
+  SELECT nth, label, base, key_size, unnest(range(len(words))) AS j, unnest(words) AS word, key_at
+  FROM (SELECT *, string_split(notice, ' ') AS words, len(string_split(key, ' ')) AS key_size,
+               len(regexp_extract_all(left(notice, strpos(' ' || notice || ' ', ' ' || key || ' ') - 1), '[^ ]+')) AS key_at
+        FROM t)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), p AS MATERIALIZED (
+  SELECT * FROM (SELECT r, unnest(range(len(words))) AS place, unnest(words) AS word FROM d)
+  WHERE word IN (SELECT word FROM tw)
+), idf AS (
+  SELECT word, ln((1 + (SELECT count(*) FROM d)) / (1 + count(DISTINCT r))) + 1e-6 AS idf
+  FROM (SELECT DISTINCT word FROM tw) LEFT JOIN p USING (word) GROUP BY word
+), weights AS (
+  SELECT nth, sum(idf) AS weight FROM tw JOIN idf USING (word) GROUP BY nth
+), lined AS (
+  SELECT r, nth, label, base, place - j AS start, key_size, sum(idf) / any_value(weight) AS share,
+         count(*) FILTER (WHERE j BETWEEN key_at AND key_at + key_size - 1) AS in_key
+  FROM p JOIN tw USING (word) JOIN idf USING (word) JOIN weights USING (nth)
+  GROUP BY r, nth, label, base, place - j, key_size
+), found AS (
+  SELECT * FROM lined WHERE in_key = key_size AND (base OR share >= $share)
+)
+SELECT any_value(doc_id) AS doc_id, any_value(len(words))::BIGINT AS n_words, count(*) FILTER (WHERE base) AS n_base,
+       min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+       coalesce(round(max(CASE WHEN base OR share > 1 THEN 1.0::DOUBLE ELSE share END), 9), 0) AS score
+FROM d LEFT JOIN found USING (r) GROUP BY r
+"""
+
 _LINES = r"""
 WITH l AS (
   SELECT doc_id, nth, parts[nth] AS line,

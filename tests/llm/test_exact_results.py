@@ -325,6 +325,67 @@ def test_every_notice_of_a_text_is_found(spark):
         assert expected[row.doc_id] <= set(row.labels.split(",")), (row.doc_id, row.labels)
 
 
+def brute_licences(texts):
+    """(base labels, all labels, score) by trying every notice at every place."""
+    split = {k: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").lower()) for k, t in texts.items()}
+    known = [(label, phrase, phrase, True) for phrase, label in license_scan.PHRASES]
+    known += [(*notice, False) for notice in license_scan.NOTICES]
+    vocabulary = {w for _, _, notice, _ in known for w in notice.split()}
+    idf = {w: np.log((1 + len(split)) / (1 + sum(w in words for words in split.values()))) + 1e-6 for w in vocabulary}
+    found = {}
+    for k, words in split.items():
+        base, labels, score = set(), set(), 0.0
+        for label, key, notice, is_base in known:
+            parts, key_parts = notice.split(), key.split()
+            before = next(i for i in range(len(parts)) if parts[i : i + len(key_parts)] == key_parts)
+            for at in range(len(words)):
+                if words[at : at + len(key_parts)] == key_parts:
+                    start = at - before
+                    held = sum(idf[w] for j, w in enumerate(parts) if 0 <= start + j < len(words) and words[start + j] == w)
+                    share = min(held / sum(idf[w] for w in parts), 1.0)
+                    if is_base or share >= license_scan.SHARE:
+                        labels.add(label)
+                        score = max(score, 1.0 if is_base else share)
+                        base |= {label} if is_base else set()
+        found[k] = (",".join(sorted(base)), ",".join(sorted(labels)), score)
+    return found
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    draw, texts = random.Random(5), {}
+    stock = [w for _, _, notice in license_scan.NOTICES for w in notice.split()]
+    for n in range(300):
+        parts = []
+        for _ in range(draw.randrange(1, 5)):
+            words = draw.choice(license_scan.NOTICES)[2].split()
+            for _ in range(draw.randrange(4)):  # words lost, swapped, put in or cut off
+                at = draw.randrange(len(words))
+                words[at : at + draw.randrange(2)] = draw.choices(stock, k=draw.randrange(2))
+                words = words or ["x"]
+            parts += words + draw.choices(stock, k=draw.randrange(4))
+        texts[n] = draw.choice([" ", ", "]).join(parts)
+    texts |= {300: None, 301: "", 302: "license " * 3000 + "mit license", 303: texts[7]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    expected = brute_licences(texts)
+    rows = license_scan.scan(frame).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        base, labels, score = expected[row.doc_id]
+        assert (row.base_labels, row.labels) == (base, labels), texts[row.doc_id]
+        assert row.score == pytest.approx(score, abs=1e-8)
+
+
+def test_hundreds_of_notices_are_rows_of_a_table(spark):
+    notices = tuple((f"l{n}", f"key{n} of family{n % 7}", f"under the terms of key{n} of family{n % 7} by owner{n}") for n in range(400))
+    texts = [(n, f"a {notices[n][2]} b {notices[(n * 7) % 400][2]}") for n in range(400)]
+    scanned = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), notices=notices)
+    assert {r.doc_id: r.labels for r in scanned.collect()} == {n: ",".join(sorted({f"l{n}", f"l{n * 7 % 400}"})) for n in range(400)}
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan
+    with pytest.raises(ValueError):
+        license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), notices=[("x", "absent words", "other words")])
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return url_filter.train(url_filter.labelled_urls(spark))
