@@ -343,14 +343,15 @@ def format_turns(
     task; in order, a transcript's turns make its text. With no roles learned both are NULL.
     """
     predicted, rendered = fresh_name(turns, "role_pred"), fresh_name(turns, "rendered")
+    key, nth, tie, role = (fresh_name(turns, name) for name in ("__key", "__nth", "__tie", "__role"))
     found = recover_roles(turns, model, conv, order, text).select(
-        F.col(conv).alias("__key"), F.col(order).alias("__nth"), F.col("tie").alias("__tie"), F.col("role_pred").alias("__role")
+        F.col(conv).alias(key), F.col(order).alias(nth), F.col("tie").alias(tie), F.col("role_pred").alias(role)
     )
     same = (
-        F.col(conv).eqNullSafe(F.col("__key"))
-        & F.col(order).cast("long").eqNullSafe(F.col("__nth"))
-        & (F.xxhash64(F.col(text)) == F.col("__tie"))
+        F.col(conv).eqNullSafe(F.col(key))
+        & F.col(order).cast("long").eqNullSafe(F.col(nth))
+        & (F.xxhash64(F.col(text)) == F.col(tie))
     )
     return turns.join(found, same, "left").select(
-        *turns.columns, F.col("__role").alias(predicted), render(F.col("__role"), F.col(text)).alias(rendered)
+        *turns.columns, F.col(role).alias(predicted), render(F.col(role), F.col(text)).alias(rendered)
     )

@@ -177,3 +177,13 @@ def test_turns_that_are_odd(spark):
     unlearned = chat.format_turns(turns, chat.train(turns.limit(0)))
     assert unlearned.count() == len(rows) and unlearned.where("role_pred IS NOT NULL").count() == 0
     assert turns.where(F.col("role").isNull()).count() == 2
+
+
+def test_turns_with_columns_of_the_join(spark):
+    rows = [(1, n, "user" if n % 2 == 0 else "assistant", f"line {n}", n, "x", "y", "z") for n in range(6)]
+    turns = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string, __key long, __nth string, __TIE string, __role string"
+    )
+    found = chat.format_turns(turns, chat.train(turns))
+    assert found.columns == [*turns.columns, "role_pred", "rendered"]
+    assert {r["turn"]: (r["__key"], r["__role"]) for r in found.collect()} == {n: (n, "z") for n in range(6)}
