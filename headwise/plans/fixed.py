@@ -37,7 +37,7 @@ def nonterminal_updates(updates: DataFrame, bounds: DataFrame | None = None) ->
     usable = nonnull_updates(updates, "arrival_time", "trip_id", "route_id", "stop_id", "logged_at")
     if bounds is None:
         bounds = observed_bounds(updates)
-    return within_span(counted_updates(usable), bounds)
+    return counted_updates(within_span(usable, bounds))
 
 
 def with_headsign(df: DataFrame, trips: DataFrame | None) -> DataFrame:
