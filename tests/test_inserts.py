@@ -74,3 +74,17 @@ def test_lines_are_dealt_by_trip_before_they_are_multiplied(spark):
     flat = flatten_trip_updates(feed).select(*tables.STOP_UPDATES.schema.fieldNames())
     seen = views.stop_time_updates(spark, SF).select(*tables.STOP_UPDATES.schema.fieldNames())
     assert flat.exceptAll(seen).isEmpty() and seen.exceptAll(flat).isEmpty()
+
+
+def test_compaction_shuffles_rows_once(spark, schema, monkeypatch):
+    for id in ("one", "two"):
+        tables.insert_new(spark, schema, tables.STOP_UPDATES, batch(spark, (id, "S", 0, 0), (id, "S", 90_000, 1)), id)
+    name, plans = f"{schema}.stop_time_updates", []
+    days = [r.key_date for r in spark.table(name).select("key_date").distinct().collect()]
+    kind = type(spark.table(name).write)
+    insert = kind.insertInto
+    monkeypatch.setattr(kind, "insertInto", lambda self, to, *a, **k: plans.append(plan(self._df)) or insert(self, to, *a, **k))
+    assert tables.compact(spark, schema, tables.STOP_UPDATES, days) == 4
+    written = next(text for text in plans if "Scan parquet" in text and "key_date" in text and "departure_time" in text)
+    assert len(re.findall(r"Exchange (?:hash|range)", written)) == 1 and "Join" not in written
+    assert len(stored(spark, schema)) == 4 and spark.table(name).select("batch_id").distinct().count() == 2
